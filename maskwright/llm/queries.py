@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import exact_dedup
+from maskwright.llm import exact_dedup, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc": warc.op4_warc,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": warc.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
