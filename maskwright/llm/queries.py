@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import exact_dedup, packing, warc
+from maskwright.llm import exact_dedup, packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
+    "op6_quality": quality.op6_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
 }
