@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -113,20 +114,24 @@ class Words:
     """The words of a slice of texts: ``index`` into ``dictionary``, ``offsets`` by text."""
 
     def __init__(self, texts: pa.Array, lower: bool = True):
-        if not pa.types.is_large_string(texts.type):
-            texts = texts.cast(pa.large_string())
+        # no cast to large_string: of a slice it keeps offsets that ascii_lower misreads
         texts = pc.fill_null(texts, "")
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
         flat = lists.flatten().dictionary_encode()
         offsets = lists.offsets.to_numpy().astype(np.int64)
         index = flat.indices.to_numpy()
-        self.dictionary: list[str] = flat.dictionary.to_pylist()
-        if "" in self.dictionary:  # before leading and after trailing white space
-            keep = index != self.dictionary.index("")
+        self.chunks: pa.Array = flat.dictionary
+        nothing = pc.index(self.chunks, "").as_py()
+        if nothing >= 0:  # before leading and after trailing white space
+            keep = index != nothing
             total = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
             index, offsets = index[keep], total[offsets - offsets[0]]
         self.index, self.offsets = index, offsets - offsets[0]
 
+    @cached_property
+    def dictionary(self) -> list[str]:
+        return self.chunks.to_pylist()
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, in order."""
         one = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.dictionary), np.uint64, len(self.dictionary))

@@ -7,12 +7,13 @@ shard but for its last sequences is as dense as one packing of all rows would be
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,9 @@ from maskwright.llm.common import Words, mix, signed, slices, small_batches, tab
 #: Pieces that a shard is meant to hold.
 SHARD_PIECES = 50_000
 #: Words whose ids a worker remembers; a full memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 _TAIL = ".,;:!?#$%&*()[]{}\"'-+=/<>@_~^|\\`"
-_UNSAFE = "ΣİKKİ"
+_TO_TAIL = r"(?s)^.*[^.,;:!?#$%&*()\[\]{}\"'\-+=/<>@_~^|\\`]"
 
 
 class WordIds:
@@ -39,27 +40,35 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, str]:
-        core = chunk.rstrip(_TAIL)
-        if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and not any(c in _UNSAFE for c in core)):
-            return core.lower(), chunk[len(core) :]
-        return chunk, ""
-
-    def of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks in one array, and the number of each."""
-        parts = [self.parts(c) for c in chunks]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        wanted = list({p for pair in parts for p in pair if p and p not in self.known})
-        for p, e in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            self.known[p] = e.ids
-        known, none = self.known, []
-        found = [known[a] + known[b] if b else known[a] if a else none for a, b in parts]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum())), count
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _places(self, names: list[str]) -> np.ndarray:
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        new = [x for x in names if x not in self.place]
+        if new:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.count = np.concatenate([self.count, np.fromiter(map(len, ids), np.int64, len(ids))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        return np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+
+    def of(self, chunks: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words ``chunks[index]`` in one array, and the number up to each word."""
+        core = pc.utf8_rtrim(chunks, characters=_TAIL)
+        letters = pc.and_(pc.utf8_is_alpha(core), pc.equal(pc.utf8_normalize(core, "NFC"), core))
+        tail = pc.if_else(letters, pc.replace_substring_regex(chunks, pattern=_TO_TAIL, replacement=""), "")
+        parts = pa.concat_arrays([pc.if_else(letters, core, chunks), tail.cast(chunks.type)]).dictionary_encode()
+        place = self._places(parts.dictionary.to_pylist())[parts.indices.to_numpy()].reshape(2, -1)
+        first = np.concatenate([[0], np.cumsum(self.count)])
+        both = place[:, index].T.ravel()  # each word's letters, then what follows them
+        length = self.count[both]
+        total = np.concatenate([[0], np.cumsum(length)])
+        return self.flat[np.repeat(first[both] - total[:-1], length) + np.arange(total[-1])], total[::2]
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -69,13 +78,9 @@ def token_ids(texts: pa.Array, tokenizer_path: str) -> tuple[np.ndarray, np.ndar
     """Ids of all texts in one array, and the offsets by text."""
     if tokenizer_path not in _WORKER:
         _WORKER[tokenizer_path] = WordIds(tokenizer_path)
-    ids = _WORKER[tokenizer_path]
-    words = Words(texts, lower=False)
-    flat, count = ids.of(words.dictionary)
-    first = np.concatenate([[0], np.cumsum(count)])
-    length = count[words.index]
-    total = np.concatenate([[0], np.cumsum(length)])
-    return flat[np.repeat(first[words.index] - total[:-1], length) + np.arange(total[-1])], total[words.offsets]
+    words = Words(texts)  # the tokenizer lowers all letters itself
+    ids, total = _WORKER[tokenizer_path].of(words.chunks, words.index)
+    return ids, total[words.offsets]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
