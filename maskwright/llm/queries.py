@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import exact_dedup, packing, quality, toxicity, warc
+from maskwright.llm import exact_dedup, minhash, packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
     "op6_quality": quality.op6_quality,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": minhash.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
