@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import exact_dedup, minhash, packing, quality, toxicity, warc
+from maskwright.llm import exact_dedup, licenses, minhash, packing, quality, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
+    "op5_url_filter": urls.op5_url_filter,
     "op6_quality": quality.op6_quality,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
 }
@@ -20,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": minhash.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op5_url_filter": urls.OP5_SQL,
+    "op8_license_scan": licenses.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
