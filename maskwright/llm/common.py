@@ -72,6 +72,12 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't among ``dropped``; rows with a null id stay."""
+    ids = written(dropped.select(id_col).distinct(), "dropped")
+    return docs.join(maybe_broadcast(ids, ids.count()), id_col, "left_anti").select(docs.columns)
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = 5_000) -> DataFrame:
     """Left join of ``rows`` with one row of ``groups`` per key, safe against hot keys.
 

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import Words, attach, maybe_broadcast, mix, ngrams, signed, slices, small_batches, table, written
 from maskwright.llm.components import connected_components
 
-MINIMA, BITS, ROWS = 128, 4, 4
-BANDS = MINIMA // ROWS
+MINIMA, BITS = 128, 4
+BANDS, ROWS = 32, 4
 LONGS = MINIMA * BITS // 64
 #: Buckets of up to so many nodes compare all of them.
 SMALL_BUCKET = 32
@@ -37,7 +37,7 @@ SPREAD = 6
 _rng = np.random.default_rng(20240601)
 _A = _rng.integers(0, 1 << 31, MINIMA).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 31, MINIMA).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_BAND = mix(np.arange(1, BANDS + 1).astype(np.uint64))
+_BAND = mix(np.arange(1, MINIMA + 1).astype(np.uint64))
 _NIBBLE = (np.arange(16) * BITS).astype(np.uint64)
 
 
@@ -62,15 +62,19 @@ def packed(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << _NIBBLE, axis=1)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    m = least.astype(np.uint64).reshape(BANDS, ROWS)
-    return mix((m[:, 0] | m[:, 1] << np.uint64(32)) ^ mix((m[:, 2] | m[:, 3] << np.uint64(32)) + _BAND))
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of ``rows`` whole minima."""
+    m = least[: bands * rows].astype(np.uint64).reshape(bands, rows)
+    key = _BAND[:bands]
+    for k in range(rows):
+        key = mix(key ^ m[:, k])
+    return key
 
 
 SKETCH = "doc_id long, n long, high long, low long, signature array<long>, bands array<long>"
 
 
-def sketches(docs: DataFrame, words: int, least: int) -> DataFrame:
+def sketches(docs: DataFrame, words: int, least: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row per document: set size, a 128-bit key of the set, and from ``least`` shingles on its signature and bands."""
     small_batches(docs.sparkSession)
 
@@ -83,7 +87,7 @@ def sketches(docs: DataFrame, words: int, least: int) -> DataFrame:
                 yield pa.record_batch([
                     batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([None if k is None else (k >> 64) - (1 << 63) for k in keys], pa.int64()), pa.array([None if k is None else (k & (1 << 64) - 1) - (1 << 63) for k in keys], pa.int64()),
-                    pa.array([None if m is None else signed(packed(m)) for m in low], pa.list_(pa.int64())), pa.array([None if m is None else signed(band_keys(m)) for m in low], pa.list_(pa.int64())),
+                    pa.array([None if m is None else signed(packed(m)) for m in low], pa.list_(pa.int64())), pa.array([None if m is None else signed(band_keys(m, bands, rows)) for m in low], pa.list_(pa.int64())),
                 ], names=["doc_id", "n", "high", "low", "signature", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
@@ -157,7 +161,7 @@ def by_prefix(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return side("a").alias("l").join(side("b").alias("r"), on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * |both| >= percent * |either| of their distinct
@@ -170,7 +174,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     least = -(-percent // (100 - percent))  # smaller sets are linked with equal ones only
-    rows = written(sketches(docs, words, least), "sketches")
+    rows = written(sketches(docs, words, least, bands, band_rows), "sketches")
     same = rows.filter("n > 0 and doc_id is not null").groupBy("high", "low")
     groups = written(same.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "nodes")
 

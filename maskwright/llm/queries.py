@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import exact_dedup, licenses, minhash, packing, quality, toxicity, urls, warc
+from maskwright.llm import decontamination, exact_dedup, licenses, minhash, packing, quality, substring_dedup, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
     "op5_url_filter": urls.op5_url_filter,
     "op6_quality": quality.op6_quality,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,

@@ -223,6 +223,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, "doc_id long, score double, threshold double, flagged boolean")
 
 
+def remove_flagged(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that aren't flagged at their language's threshold."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                s = m.scores(m.responses(*word_buckets(batch.column("text")))[0])
+                langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * len(s)
+                yield batch.filter(pa.array([x < m.threshold(y) for x, y in zip(s, langs, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
