@@ -1,4 +1,246 @@
-"""The engine's queries and their SQL."""
+"""The engine's queries over the driver's tables, and their SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.functions import text as T
+from maskwright.functions.tags import NUMERIC_TAGS, TAGS, tag_table
+from maskwright.operators import cells as C
+from maskwright.operators import detect, registry, restore, verify
+from maskwright.operators.matcher import occurrences, scrub
+from maskwright.plans.flow import preview, register
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+#: A fixed secret for comparable ids; real runs take a random one.
+SECRET = "comparison"
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+# --- SQL building blocks -------------------------------------------------------
+
+def _sql_hits(tag: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    shape = detect.SHAPES[tag].replace("'", "''")
+    found = f"regexp_extract_all({text}, '(?:^|[^\\w-])({shape})', 1)" if tag in detect.BEFORE else f"regexp_extract_all({text}, '{shape}')"
+    value = "regexp_replace(trim(raw, ' ' || chr(9) || chr(10)), '[.,]+$', '')"
+    keep = "value <> ''"
+    if tag == "FINANCIAL":
+        digits = "regexp_replace(value, '[^0-9]', '', 'g')"
+        total = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN (len({digits}) - i) % 2 = 0 THEN {digits}[i]::INT WHEN {digits}[i]::INT > 4 THEN {digits}[i]::INT * 2 - 9 ELSE {digits}[i]::INT * 2 END))"
+        keep += f" AND {total} % 10 = 0"
+    if tag == "IP":
+        keep += " AND NOT regexp_full_match(value, '\\d(\\.\\d){3}')"
+    k = list(detect.SHAPES).index(tag)
+    return (
+        f"SELECT {key} AS doc_id, value, '{tag}' AS tag, {k << 40} + place AS seq FROM (SELECT {key}, {value} AS value, place FROM "
+        f"(SELECT {key}, unnest(l) AS raw, unnest(range(len(l))) AS place FROM (SELECT {key}, {found} AS l FROM {table}))) WHERE {keep}"
+    )
+
+
+_ALL_HITS = " UNION ALL ".join(f"({_sql_hits(t)})" for t in detect.SHAPES)
+_REGISTRY = f"h AS ({_ALL_HITS}), r AS (SELECT doc_id, value AS original, arg_min(tag, seq) AS tag, min(seq) AS seq FROM h GROUP BY doc_id, value)"
+
+
+def _attempt(i: str) -> str:
+    return f"upper(substr(sha256('{SECRET}' || chr(31) || doc_id || chr(31) || {i} || chr(31) || original), 1, 12))"
+
+
+_VALID = "regexp_full_match({x}, '[0-9A-F]{{12}}') AND regexp_matches({x}, '[0-9]') AND regexp_matches({x}, '[A-F]') AND NOT regexp_full_match({x}, '\\d+E\\d+')"
+_IDS = f"{_REGISTRY}, i AS (SELECT *, list_filter(list_transform(range(12), lambda k: {_attempt('k')}), lambda x: {_VALID.format(x='x')})[1] AS hex_id FROM r), p AS (SELECT *, '[' || tag || '_' || hex_id || ']' AS placeholder FROM i)"
+
+
+# --- detectors and the registry --------------------------------------------------
+
+for _tag in detect.SHAPES:
+    _add(
+        f"detect_{_tag.lower()}",
+        lambda s, d, tag=_tag: detect.pattern_matches(_docs(s, d), tag).select("doc_id", "value").distinct(),
+        f"SELECT DISTINCT doc_id, value FROM ({_sql_hits(_tag)})",
+    )
+for _source, _key, _text in (("pages", "page_id", "html"), ("conversations", "conv_id", "text")):
+    _add(
+        f"detect_email_{_source}",
+        lambda s, d, t=_source, k=_key, x=_text: detect.pattern_matches(_table(s, d, t).select(F.col(k).alias("doc_id"), F.col(x).alias("text")), "EMAIL").groupBy("doc_id").agg(F.count("*").alias("n")),
+        f"SELECT doc_id, count(*) AS n FROM ({_sql_hits('EMAIL', _source, _key, _text)}) GROUP BY doc_id",
+    )
+
+
+def _registry(s: SparkSession, d: str) -> DataFrame:
+    return registry.first_wins(detect.detect_patterns(_docs(s, d)))
+
+
+def _with_ids(s: SparkSession, d: str) -> DataFrame:
+    return registry.with_ids(_registry(s, d), SECRET)
+
+
+_add("registry_first_wins", lambda s, d: _registry(s, d).select("doc_id", "original", "tag"), f"WITH {_REGISTRY} SELECT doc_id, original, tag FROM r")
+_add("counts_per_tag", lambda s, d: registry.counts_per_tag(_registry(s, d)), f"WITH {_REGISTRY} SELECT tag, count(*) AS n FROM r GROUP BY tag")
+_add("registry_totals", lambda s, d: registry.totals(_with_ids(s, d)), f"WITH {_IDS} SELECT count(DISTINCT hex_id) AS entities, count(*) AS replacements FROM p")
+_add("assign_ids", lambda s, d: _with_ids(s, d).select("doc_id", "original", "hex_id", "placeholder"), f"WITH {_IDS} SELECT doc_id, original, hex_id, placeholder FROM p")
+_add("longest_first", lambda s, d: registry.longest_first(_registry(s, d)).select("doc_id", "original", "n"), f"WITH {_REGISTRY} SELECT doc_id, original, row_number() OVER (PARTITION BY doc_id ORDER BY length(original) DESC, seq)::INT AS n FROM r")
+_add("recent_entries", lambda s, d: registry.recent(_registry(s, d), 2).select("doc_id", "original"), f"WITH {_REGISTRY} SELECT doc_id, original FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) <= 2")
+_add(
+    "deselect_tags", lambda s, d: registry.deselect(_registry(s, d), tags=["EMAIL", "IP"]).select("doc_id", "original", "tag"),
+    f"WITH {_REGISTRY} SELECT doc_id, original, tag FROM r WHERE tag NOT IN ('EMAIL', 'IP')",
+)
+_add(
+    "rollup_by_lang",  # an addition: what Spark gives on the same rows
+    lambda s, d: _registry(s, d).join(_table(s, d, "documents").select("doc_id", "lang"), "doc_id").rollup("lang", "tag").agg(F.count("*").alias("n")),
+    f"WITH {_REGISTRY} SELECT lang, tag, count(*) AS n FROM r JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, tag)",
+)
+_add(
+    "tag_tiers", lambda s, d: tag_table(s).groupBy("tier").agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN i < 11 THEN 'standard' ELSE 'sensitive' END AS tier, count(*) AS n FROM range(17) t(i) GROUP BY 1",
+)
+
+# --- replacing and verifying -----------------------------------------------------
+
+_add("scrub_documents", lambda s, d: scrub(_docs(s, d), _with_ids(s, d)).select("doc_id", "text", "replaced"))
+
+
+def _verify(s: SparkSession, d: str) -> DataFrame:
+    rows = _with_ids(s, d)
+    out = verify.verify(scrub(_docs(s, d), rows), rows)
+    return out.agg(F.count("*").alias("documents"), F.count_if("passed").alias("passed"), F.sum("total_matches").cast("long").alias("matches"))
+
+
+_add("verify_residue", _verify, "SELECT count(*) AS documents, count(*) AS passed, 0::BIGINT AS matches FROM documents")
+_add("verify_gate", lambda s, d: verify.passed_only(_docs(s, d), verify.verify(_docs(s, d), _with_ids(s, d))).select("doc_id"), f"WITH {_REGISTRY} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r)")
+_add("preview", lambda s, d: preview(_docs(s, d), _with_ids(s, d), 10_000).select("doc_id", "text", "spans"))
+_label = {
+    "EMAIL": f"regexp_matches(t, '{detect.RESIDUE['EMAIL']}')", "PHONE": f"regexp_matches(t, '{detect.RESIDUE['PHONE']}')", "SSN": f"regexp_matches(t, '{detect.RESIDUE['SSN']}')",
+    "IP": f"len(list_filter(regexp_extract_all(t, '{detect.RESIDUE['IP']}'), lambda x: NOT regexp_full_match(x, '\\d(\\.\\d){{3}}'))) > 0",
+}
+_add(
+    "residue_labels",
+    lambda s, d: detect.residue(_docs(s, d)).select("doc_id", F.explode("labels").alias("label")).filter("label <> 'CREDIT_CARD'"),
+    "SELECT doc_id, label FROM (SELECT doc_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _label.items()) + "], lambda x: x IS NOT NULL)) AS label FROM (SELECT doc_id, text AS t FROM documents))",
+)
+
+
+def _terms(s: SparkSession, d: str) -> DataFrame:
+    """The first two words of each benchmark item as custom terms."""
+    words = F.regexp_extract("text", r"^([^ \n]+ [^ \n]+)", 1)
+    lines = _table(s, d, "benchmark").select(words.alias("line"), F.col("item_id").alias("seq"))
+    return detect.parse_terms(lines)
+
+
+_TERMS = "t AS (SELECT DISTINCT trim(regexp_extract(text, '^([^ \\n]+ [^ \\n]+)', 1)) AS value FROM benchmark WHERE trim(regexp_extract(text, '^([^ \\n]+ [^ \\n]+)', 1)) <> '')"
+_add("custom_terms", lambda s, d: detect.detect_terms(_docs(s, d), _terms(s, d)).select("doc_id", "value", "tag"), f"WITH {_TERMS} SELECT doc_id, value, 'PERSON' AS tag FROM documents, t WHERE contains(text, value)")
+_add("dictionary_matches", lambda s, d: occurrences(_docs(s, d), _terms(s, d).select("value")).groupBy("doc_id", "original").agg(F.count("*").alias("n")))
+_add("overlap_unions", lambda s, d: detect.overlap_unions(_overlapping(s, d), _docs(s, d)).select("doc_id", "value", "tag"))
+
+
+def _overlapping(s: SparkSession, d: str) -> DataFrame:
+    """Words one and two, and two and three, of each document as values that overlap."""
+    words = F.array(F.regexp_extract("text", r"^(\S+ \S+)", 1), F.regexp_extract("text", r"^\S+ (\S+ \S+)", 1))
+    return _docs(s, d).select("doc_id", F.explode(words).alias("value"), F.lit("PERSON").alias("tag")).filter("value <> ''").distinct()
+
+
+# --- texts -----------------------------------------------------------------------
+
+_add("html_to_text", lambda s, d: _table(s, d, "pages").select("page_id", F.md5(T.html_to_text(F.col("html"))).alias("digest")), """
+SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'),
+  '<[^>]+>', ' ', 'g'), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+', ''), '\\s+$', '')) AS digest FROM pages""")
+_add("chunk_windows", lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.chunks(F.col("text"), 200, 20)).alias("chunk_no", "text")).select("doc_id", "chunk_no", F.md5("text").alias("digest")), """
+SELECT doc_id, k::INT AS chunk_no, md5(substr(text, (k * 720 + 1)::BIGINT, 800)) AS digest
+FROM (SELECT doc_id, text, unnest(range(greatest(0, ceil((length(text) - 800) / 720.0))::BIGINT + 1)) AS k FROM documents)""")
+_add("token_counts", lambda s, d: _docs(s, d).select("doc_id", T.token_count(F.col("text")).alias("tokens")), "SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents")
+
+# --- tables ----------------------------------------------------------------------
+
+
+def _customers(s: SparkSession, d: str) -> DataFrame:
+    """Customers as one sheet per nation."""
+    rows = _table(s, d, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("decimal(12,2)").cast("string").alias("c_acctbal"))
+    return C.to_cells(rows, F.col("c_nationkey").cast("long"), ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"], "c_custkey")
+
+
+def _known_customers(s: SparkSession, d: str) -> DataFrame:
+    """What a detector may have found: customers with an even key, and one segment."""
+    rows = _table(s, d, "customer")
+    names = rows.filter("c_custkey % 2 = 0").select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("c_name").alias("value"), F.lit("PERSON").alias("tag"))
+    return names.unionByName(rows.filter("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("c_mktsegment").alias("value"), F.lit("ORG").alias("tag"))).distinct()
+
+
+_add("column_consensus", lambda s, d: detect.detect_consensus(_customers(s, d), _known_customers(s, d)).select("doc_id", "value", "tag").distinct(), """
+WITH k AS (SELECT c_nationkey::BIGINT AS doc_id, c_name AS value, 'PERSON' AS tag FROM customer WHERE c_custkey % 2 = 0
+           UNION SELECT c_nationkey::BIGINT, c_mktsegment, 'ORG' FROM customer WHERE c_mktsegment = 'BUILDING'),
+b AS (SELECT c_nationkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row, [c_name, c_mktsegment] AS v FROM customer),
+c AS (SELECT doc_id, row, unnest(v) AS value, unnest([1, 2]) AS col FROM b),
+t AS (SELECT c.*, k.tag FROM c LEFT JOIN k USING (doc_id, value)),
+z AS (SELECT doc_id, col, count(*) AS size FROM t GROUP BY ALL HAVING count(*) >= 2),
+w AS (SELECT doc_id, col, tag, count(*) AS hits, min(row) AS seen FROM t WHERE tag IS NOT NULL GROUP BY ALL),
+x AS (SELECT doc_id, col, tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, col ORDER BY hits DESC, seen, tag) AS n FROM w JOIN z USING (doc_id, col) WHERE true) WHERE n = 1 AND hits >= 2 AND hits * 2 >= size)
+SELECT DISTINCT doc_id, value, x.tag FROM t JOIN x USING (doc_id, col) WHERE t.tag IS NULL""")
+_add("plain_amounts", lambda s, d: _table(s, d, "orders").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 3 == 0, "$").otherwise(""), F.col("o_totalprice").cast("decimal(14,2)").cast("string")).alias("v")).unionByName(_table(s, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("v"))).filter(T.is_plain_amount(F.col("v"))).groupBy((F.col("o_orderkey") % 10).alias("k")).agg(F.count("*").alias("n")), """
+WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '$' ELSE '' END || o_totalprice::DECIMAL(14, 2)::VARCHAR AS v FROM orders UNION ALL SELECT o_orderkey, o_custkey::VARCHAR FROM orders)
+SELECT o_orderkey % 10 AS k, count(*) AS n FROM v
+WHERE regexp_full_match(v, '[$€£¥]?\\s?(?:\\d{1,3}(?:,\\d{3})+|\\d+)(?:\\.\\d{1,2})?\\s?%?') AND (regexp_matches(v, '[$€£¥%]|\\.\\d{1,2}$') OR len(regexp_replace(v, '[^0-9]', '', 'g')) < 7) GROUP BY 1""")
+_add("short_numbers", lambda s, d: _customers(s, d).filter((F.col("row") > 0) & T.is_short_number(F.col("value"))).groupBy("col").agg(F.count("*").alias("n")), """
+WITH v AS (SELECT unnest([c_custkey::VARCHAR, c_name, c_mktsegment, c_acctbal::DECIMAL(12, 2)::VARCHAR]) AS v, unnest([0, 1, 2, 3]) AS col FROM customer)
+SELECT col, count(*) AS n FROM v WHERE v <> '' AND NOT regexp_matches(v, '\\pL') AND len(regexp_replace(v, '[^0-9]', '', 'g')) < 7 AND regexp_matches(v, '^\\d|\\d$') GROUP BY col""")
+_add("amounts_exempt", lambda s, d: _customers(s, d).filter("col = 0 and row > 0").select(F.col("value"), F.when(F.col("row") % 2 == 0, NUMERIC_TAGS[0]).otherwise("FINANCIAL").alias("tag"), "doc_id").transform(lambda x: detect.skipped_amounts(x)).groupBy("doc_id").agg(F.count("*").alias("n")), """
+SELECT doc_id, count(*) AS n FROM (SELECT c_nationkey::BIGINT AS doc_id, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row FROM customer) WHERE row % 2 = 1 AND c_custkey < 1000000 GROUP BY 1""")
+
+
+def _override_cells(s: SparkSession, d: str) -> DataFrame:
+    cells = _customers(s, d)
+    rows = cells.filter("row > 0 and col = 1").select("doc_id", "sheet", "row", "col", F.when(F.col("row") % 5 == 0, "changed").otherwise(F.col("value")).alias("expected"), F.lit("[I]").alias("new"))
+    return C.apply_overrides(cells, rows).groupBy("doc_id").agg(F.count_if("overridden").alias("done"), F.count_if("skipped").alias("skipped"))
+
+
+_add("override_cells", _override_cells, "SELECT c_nationkey::BIGINT AS doc_id, count(*) FILTER (r % 5 <> 0) AS done, count(*) FILTER (r % 5 = 0) AS skipped FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) GROUP BY 1")
+_add("sheet_width", lambda s, d: C.sheet_width(_customers(s, d)).select("doc_id", "width"), "SELECT DISTINCT c_nationkey::BIGINT AS doc_id, 4 AS width FROM customer")
+_add("table_text", lambda s, d: C.sheet_text(_customers(s, d)).select("doc_id", F.md5("text").alias("digest")), """
+SELECT doc_id, md5('c_custkey,c_name,c_mktsegment,c_acctbal' || chr(10) || string_agg(l, chr(10) ORDER BY c_custkey)) AS digest
+FROM (SELECT c_nationkey::BIGINT AS doc_id, c_custkey, c_custkey || ',' || c_name || ',' || c_mktsegment || ',' || c_acctbal::DECIMAL(12, 2)::VARCHAR AS l FROM customer) GROUP BY doc_id""")
+
+# --- restoring -------------------------------------------------------------------
+
+
+def _keys(s: SparkSession, d: str) -> DataFrame:
+    """A key per document, of its registry."""
+    own = _with_ids(s, d).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("original", "placeholder"))).alias("replacement_map"))
+    return own.select(F.col("doc_id").alias("key_no"), F.concat(F.lit("s"), "doc_id").alias("session_id"), "replacement_map")
+
+
+def _restored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return restore.restore(scrub(_docs(s, d), _with_ids(s, d)).drop("replaced"), restore.build_index(_keys(s, d)))
+
+
+_add("round_trip", lambda s, d: _restored(s, d)[0].select("doc_id", F.md5("text").alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")
+_add("restore_by_tag", lambda s, d: restore.restored_by_tag(_restored(s, d)[1]))
+_add("restore_report", lambda s, d: restore.restore_report(_restored(s, d)[1]).select("doc_id", "restored", "relabeled", "untagged", "unresolved_count"))
+_add("key_conflicts", lambda s, d: restore.key_conflicts(_conflicting(s, d)).select("hex"), f"WITH {_IDS} SELECT DISTINCT hex_id AS hex FROM p WHERE doc_id % 2 = 0")
+
+
+def _conflicting(s: SparkSession, d: str) -> DataFrame:
+    """Every second document's key, and one more in which its ids stand for something else."""
+    keys = _keys(s, d)
+    other = keys.filter("key_no % 2 = 0").select((F.col("key_no") + 1_000_000_000).alias("key_no"), "session_id", F.transform_keys("replacement_map", lambda k, v: F.concat(F.lit("other "), k)).alias("replacement_map"))
+    return keys.unionByName(other)
+
+
+_add("reserved_ids", lambda s, d: registry.reserved_ids(None, _keys(s, d)), f"WITH {_IDS} SELECT DISTINCT hex_id FROM p")
+_add("allowed_tags", lambda s, d: registry.first_wins(detect.detect_patterns(_docs(s, d), ["phone", "EMAIL"])).groupBy("tag").agg(F.count("*").alias("n")), "WITH h AS (" + " UNION ALL ".join(f"({_sql_hits(t)})" for t in ("EMAIL", "PHONE")) + ") SELECT tag, count(*) AS n FROM (SELECT doc_id, value, arg_min(tag, seq) AS tag FROM h GROUP BY ALL) GROUP BY tag")
+_add("full_registry", lambda s, d: register(_docs(s, d), TAGS, _terms(s, d)).select("doc_id", "original", "tag"))
