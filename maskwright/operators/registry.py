@@ -52,14 +52,12 @@ def with_ids(registry: DataFrame, secret: str, reserved: DataFrame | None = None
 
 def resolve_links(registry: DataFrame) -> DataFrame:
     """``linked_to`` as the id of the linked value: given as an id, else as a text; unknown ones are null."""
-    known = registry.select("doc_id", F.col("hex_id").alias("id_hit"))
-    named = registry.select("doc_id", F.col("original").alias("text_key"), F.col("hex_id").alias("text_hit"))
-    key = F.upper(F.regexp_extract(F.col("linked_to"), r"([0-9A-Fa-f]{12})\]?\z", 1))
-    rows = registry.withColumn("link_key", key)
-    rows = rows.join(known, (rows["doc_id"] == known["doc_id"]) & (rows["link_key"] == F.col("id_hit")), "left").drop(known["doc_id"])
-    rows = rows.join(named, (rows["doc_id"] == named["doc_id"]) & (rows["linked_to"] == F.col("text_key")), "left").drop(named["doc_id"])
+    known = registry.select("doc_id", F.col("hex_id").alias("link_key"), F.col("hex_id").alias("id_hit")).distinct()
+    named = registry.select("doc_id", F.col("original").alias("linked_to"), F.col("hex_id").alias("text_hit"))
+    rows = registry.withColumn("link_key", F.upper(F.regexp_extract("linked_to", r"([0-9A-Fa-f]{12})\]?\z", 1)))
+    rows = rows.join(known, ["doc_id", "link_key"], "left").join(named, ["doc_id", "linked_to"], "left")
     link = F.coalesce("id_hit", "text_hit")
-    return rows.withColumn("linked_to", F.when(link != F.col("hex_id"), link)).drop("link_key", "id_hit", "text_key", "text_hit")
+    return rows.withColumn("linked_to", F.when(link != F.col("hex_id"), link)).select(registry.columns)
 
 
 def deselect(registry: DataFrame, values: DataFrame | None = None, tags: Iterable[str] = ()) -> DataFrame:

@@ -20,7 +20,7 @@ def first_seen(stream: DataFrame, tags: Iterable[str] = TAGS, delay: str = "1 ho
     # the time goes along in the id, as detectors pass only that on
     packed = marked.select(F.struct("doc_id", "ts").alias("doc_id"), "text")
     found = detect_patterns(packed, tags).select("doc_id.doc_id", F.col("doc_id.ts").alias("ts"), "value", "tag")
-    return found.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["value", "tag"])
+    return found.dropDuplicatesWithinWatermark(["value", "tag"])
 
 
 def counts_by_window(stream: DataFrame, tags: Iterable[str] = TAGS, delay: str = "1 hour", window: str = "10 minutes") -> DataFrame:
