@@ -63,7 +63,7 @@ def append_column(cells: DataFrame, specs: DataFrame, values: DataFrame) -> Data
     return cells.select(*KEY, "value").unionByName(pads).unionByName(new)
 
 
-def intact_columns(cells: DataFrame, specs: DataFrame, token: str = r"^\[?F(?:[0-9A-F]{16}|[0-9A-F]{8})\]?$") -> DataFrame:
+def intact_columns(cells: DataFrame, specs: DataFrame, token: str = r"^\[[IF](?:[0-9A-F]{16}|[0-9A-F]{8})\]$") -> DataFrame:
     """The appended columns that are still exactly so: the header in place, the rest empty or a token."""
     found = cells.join(specs, ["doc_id", "sheet", "col"])
     value = F.coalesce("value", F.lit(""))

@@ -21,9 +21,12 @@ PERSON = (
 )
 FAMILY = f"struct<key:string,display_name:string,cell:struct<col:int>,action:string,code_state:string,community_id:string,same_as:string,review_reasons:array<string>,candidates:array<{CANDIDATE}>>"
 PLAN = f"struct<sheets:array<struct<index:int,rows:array<struct<index:int,skipped:boolean,persons:array<{PERSON}>,family:{FAMILY}>>>>,pending:array<string>,stale_decisions:array<string>>"
-# Limits of one roster file.
+# Limits of one roster file, and words that mark its header.
 MOST_ROWS, MOST_SHEETS, MOST_COLUMNS, MOST_CHARS, HEADER_ROWS = 20_000, 25, 300, 4_000, 25
-HEADER_WORD = r"(?i)\b(name|first|last|given|surname|family|student|child|parent|guardian|household|member|email|phone|birth|dob)\b"
+HEADER_WORD = (
+    r"(?i)\b(name|first|last|given|surname|student|child|children|parent|guardian|"
+    r"family|household|head|spouse|email|e-mail|phone|mobile|cell|address|grade)\b"
+)
 LIST_HEADER = r"(?i)^(?:(?:student|child|member|parishioner|person|parent|guardian)(?:'s)?\s+)?(?:full\s+|legal\s+)?names?$"
 
 

@@ -12,8 +12,7 @@ SCHEMA = (
     "pii_types_scrubbed array<string>, entity_registry map<string, struct<types:array<string>,values:map<string,string>,linked_to:string>>, "
     "replacement_map map<string,string>, sheet_titles map<string,string>, identity_registry map<string, struct<kind:string,display:string,family:string>>, "
     "identity_cells array<struct<sheet:int,row:int,col:int,written:string,original:string>>, "
-    "identity_columns array<struct<sheet:int,col:int,header_row:int,header:string>>, "
-    "community_source struct<familygraph_host:string,import_runs:array<string>,category:string,committed_at:string>"
+    "identity_columns array<struct<sheet:int,col:int,header_row:int,header:string>>"
 )
 REQUIRED = ("session_id", "original_filename", "replacement_map")
 

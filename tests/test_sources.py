@@ -58,8 +58,8 @@ def test_keys_and_sinks(spark, tmp_path):
     (single / "k.json").write_text(json.dumps({"session_id": "x", "original_filename": "f", "created_at": "1", "replacement_map": {"a": "[ID_3A4F9C2B1D0E]"}}, indent=1))
     (single / "bad.json").write_text("{}")
     assert [(r.name, r.format) for r in keys.recent_keys(keys.read_keys(spark, str(single))).collect()] == [("k.json", "hex12")]
-    name = spark.createDataFrame([("roster_anon_ab12cd34 (1).csv",)], "n string").select(sinks.output_name(F.col("n"), None)).first()[0]
-    assert name == "roster_restored.csv"
+    name = spark.createDataFrame([("list_anon_0f3e5d7c (2).csv",)], "n string").select(sinks.output_name(F.col("n"), None)).first()[0]
+    assert name == "list_restored.csv"
 
 
 def test_stream(spark, tmp_path):
