@@ -1,15 +1,17 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Each text becomes the set of its word shingles (as 64-bit hashes).  Equal sets are
-one node.  Of 128 minima a node keeps the low four bits, packed into eight longs,
-and 32 band keys of four whole minima.  Nodes that share a band key are candidates;
+one node.  Of 256 minima a node keeps the low four bits, packed into sixteen
+longs, and 32 band keys of four whole minima.  Nodes that share a band key are candidates;
 the packed signatures, by bit counts corrected for chance agreement, discard the
 clearly different ones; the rest are confirmed on the full sets.
 
-A bucket of few nodes compares all of them.  A larger one compares each with one
-member, another for every band.  Nodes of large buckets that are still in different
-components afterwards are joined on the rare prefixes of their sets, which loses no
-pair at the threshold, so no bucket is cut short and none is paired off in full.
+Each node of a bucket is first compared with one of them.  Where a bucket still holds
+several components, its nodes are compared with another one and with the best linked
+one of a different component; then the nodes of different ones are: all in a small
+bucket, and in a larger one those that share a gram in the rare prefixes of their
+sets, which loses no pair at the threshold.  So no bucket is cut short, and none that
+is one component is paired off.
 """
 
 from __future__ import annotations
@@ -26,13 +28,12 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import Words, attach, maybe_broadcast, mix, ngrams, signed, slices, small_batches, table, written
 from maskwright.llm.components import connected_components
 
-MINIMA, BITS = 128, 4
+MINIMA, BITS = 256, 4
 BANDS, ROWS = 32, 4
-LONGS = MINIMA * BITS // 64
 #: Buckets of up to so many nodes compare all of them.
 SMALL_BUCKET = 32
 #: Standard deviations below the threshold at which an estimate discards a pair.
-SPREAD = 6
+SPREAD = 5
 
 _rng = np.random.default_rng(20240601)
 _A = _rng.integers(0, 1 << 31, MINIMA).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -48,17 +49,18 @@ def gram_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return [np.unique(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def minima(grams: np.ndarray) -> np.ndarray:
+def minima(grams: np.ndarray, count: int = MINIMA) -> np.ndarray:
+    a, b = _A[:count], _B[:count]
     high, low = (grams >> np.uint64(32)).astype(np.uint32)[:, None], grams.astype(np.uint32)[:, None]
-    out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    out = np.full(count, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(grams), 1024):
-        np.minimum(out, (high[at : at + 1024] * _A + low[at : at + 1024] * _B).min(0), out=out)
+        np.minimum(out, (high[at : at + 1024] * a + low[at : at + 1024] * b).min(0), out=out)
     return out
 
 
 def packed(least: np.ndarray) -> np.ndarray:
-    """The low bits of the (finalised) minima as LONGS longs."""
-    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint64).reshape(LONGS, 16)
+    """The low bits of the (finalised) minima, sixteen a long."""
+    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint64).reshape(-1, 16)
     return np.bitwise_or.reduce(bits << _NIBBLE, axis=1)
 
 
@@ -74,7 +76,7 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
 SKETCH = "doc_id long, n long, high long, low long, signature array<long>, bands array<long>"
 
 
-def sketches(docs: DataFrame, words: int, least: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketches(docs: DataFrame, words: int, least: int, bands: int = BANDS, rows: int = ROWS, count: int = MINIMA) -> DataFrame:
     """A row per document: set size, a 128-bit key of the set, and from ``least`` shingles on its signature and bands."""
     small_batches(docs.sparkSession)
 
@@ -83,7 +85,7 @@ def sketches(docs: DataFrame, words: int, least: int, bands: int = BANDS, rows:
             for batch in slices(whole, "text"):
                 sets = gram_sets(batch.column("text"), words)
                 keys = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
-                low = [minima(s) if len(s) >= least else None for s in sets]
+                low = [minima(s, count) if len(s) >= least else None for s in sets]
                 yield pa.record_batch([
                     batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([None if k is None else (k >> 64) - (1 << 63) for k in keys], pa.int64()), pa.array([None if k is None else (k & (1 << 64) - 1) - (1 << 63) for k in keys], pa.int64()),
@@ -106,10 +108,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, grams array<long>").groupBy("id").agg(F.first("grams").alias("grams"))
 
 
-def differing(a: str, b: str) -> Column:
+def differing(a: str, b: str, count: int = MINIMA) -> Column:
     """The number of minima whose kept bits differ, from two signature columns."""
     total = F.lit(0)
-    for k in range(LONGS):
+    for k in range(count * BITS // 64):
         z = F.col(a)[k].bitwiseXOR(F.col(b)[k])
         z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
         z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
@@ -120,19 +122,19 @@ def differing(a: str, b: str) -> Column:
 class Linker:
     """Estimates and confirms candidate pairs of nodes."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, percent: int):
-        self.docs, self.words, self.percent = docs, words, percent
+    def __init__(self, nodes: DataFrame, percent: int, count: int):
+        self.percent, self.count = percent, count
         self.nodes = nodes.select(F.col("node").alias("id"), "n", "signature")
         chance = 1 / (1 << BITS)
         agree = percent / 100 * (1 - chance) + chance
-        self.most = int(MINIMA * (1 - agree + SPREAD * sqrt(agree * (1 - agree) / MINIMA)))
+        self.most = int(count * (1 - agree + SPREAD * sqrt(agree * (1 - agree) / count)))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a < b) whose sizes and estimated similarity don't rule them out."""
         side = lambda x: self.nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
         found = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
         sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
-        return found.filter(sizes & (differing("s_a", "s_b") <= self.most)).select("a", "b")
+        return found.filter(sizes & (differing("s_a", "s_b", self.count) <= self.most)).select("a", "b")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
@@ -161,7 +163,26 @@ def by_prefix(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return side("a").alias("l").join(side("b").alias("r"), on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+def _across(open_: DataFrame) -> DataFrame:
+    """All pairs of a bucket's nodes that are in different components."""
+    other = open_.select("key", F.col("id").alias("id_b"), F.col("component").alias("component_b"))
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b"))
+    return open_.alias("l").join(other.alias("r"), on).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
+def _spokes(open_: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Each node of a bucket with one of another component: the best linked, or another for each bucket."""
+    if links is None:
+        middle = F.min(F.struct(F.xxhash64("id", "key"), "id", "component"))
+    else:
+        degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
+        open_ = open_.join(degree, "id", "left")
+        middle = F.max(F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("id"), "id", "component"))
+    chosen = open_.groupBy("key").agg(middle.alias("m")).select("key", F.col("m.id").alias("middle"), F.col("m.component").alias("its"))
+    return open_.join(chosen, "key").filter("component <> its").select(F.least("id", "middle").alias("a"), F.greatest("id", "middle").alias("b"))
+
+
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = ROWS, count: int = MINIMA) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * |both| >= percent * |either| of their distinct
@@ -174,39 +195,48 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     least = -(-percent // (100 - percent))  # smaller sets are linked with equal ones only
-    rows = written(sketches(docs, words, least, bands, band_rows), "sketches")
+    rows = written(sketches(docs, words, least, bands, band_rows, count), "sketches")
     same = rows.filter("n > 0 and doc_id is not null").groupBy("high", "low")
     groups = written(same.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "nodes")
 
     keys = groups.filter("bands is not null").select("node", F.explode("bands").alias("key"))
-    # another member of a bucket is its middle in every band
-    middle = F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"]
+    # one order of all nodes gives a group the same middle in most of its bands
+    middle = F.min(F.struct(F.xxhash64("node"), "node"))["node"]
     sizes = keys.groupBy("key").agg(F.count("*").alias("c"), middle.alias("middle")).filter("c > 1")
     buckets = written(keys.join(sizes, "key"), "buckets")
-    few = buckets.filter(F.col("c") <= SMALL_BUCKET)
-    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").filter("a < b").select("a", "b")
-    large = buckets.filter(F.col("c") > SMALL_BUCKET)
-    spokes = large.filter("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
-    linker = Linker(docs, groups, words, percent)
-    likely = written(linker.likely(pairs.unionByName(spokes)), "likely")
-    ids = written(likely.select(F.col("a").alias("id")).union(likely.select("b")).union(large.select("node")).distinct(), "candidates")
-    sets = written(full_sets(docs, ids, words), "sets")
-    links = written(linker.links(likely, sets), "confirmed")
+    linker = Linker(groups, percent, count)
+    spokes = buckets.filter("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
+    tried = written(linker.likely(spokes), "likely")
+    ids = tried.select(F.col("a").alias("id")).union(tried.select("b")).union(buckets.filter("c > 2").select("node")).distinct()
+    sets = written(full_sets(docs, written(ids, "candidates"), words), "sets")
+    links = written(linker.links(tried, sets), "confirmed")
     component = connected_components(links)
+    members = buckets.filter("c > 2").select("key", F.col("node").alias("id"), "c")
 
     def placed(nodes: DataFrame, key: str) -> DataFrame:
         return nodes.join(component.withColumnRenamed("id", key), key, "left").withColumn("component", F.coalesce("component", key))
 
-    big = placed(large.select("key", F.col("node").alias("id")), "id")
-    split = big.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    open_ = written(big.join(split, "key", "left_semi").select("id", "component").distinct(), "open")
-    if open_.take(1):
-        more = written(linker.links(written(linker.likely(by_prefix(open_, sets, percent)), "likely"), sets), "confirmed")
-        if more.take(1):
-            component = connected_components(links.unionByName(more))
-    found = placed(groups.select("high", "low", "node", "copies"), "node").select("high", "low", "copies", "component")
+    for step in ("another middle", "best linked", "all"):
+        # buckets that still hold several components
+        now = placed(members, "id")
+        split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+        open_ = written(now.join(split, "key", "left_semi"), "open")
+        if not open_.take(1):
+            break
+        if step == "all":
+            pairs = _across(open_.filter(F.col("c") <= SMALL_BUCKET)).unionByName(by_prefix(open_.filter(F.col("c") > SMALL_BUCKET).select("id", "component").distinct(), sets, percent))
+        else:
+            pairs = _spokes(open_, links if step == "best linked" else None)
+        fresh = written(linker.likely(pairs.distinct().join(tried, ["a", "b"], "left_anti")), "likely")
+        found = written(linker.links(fresh, sets), "confirmed")
+        tried = tried.unionByName(fresh)
+        if found.take(1):
+            links = links.unionByName(found)
+            component = connected_components(links)
+    found = written(placed(groups.select("high", "low", "node", "copies"), "node").select("high", "low", "copies", "component"), "components")
     out = attach(rows.select("doc_id", "n", "high", "low"), found, ["high", "low"], "copies")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
