@@ -23,10 +23,10 @@ from maskwright.llm.minhash import near_components
 
 #: Words of a line that counts as a paragraph, and of a repeated passage.
 LINE_WORDS, PASSAGE_WORDS = 20, 20
-#: Bands and minima of a band for lines: a pair at 0.8 is missed once in 3500.
-LINE_BANDS, LINE_ROWS = 8, 2
+#: Bands and minima of a band for lines (a pair at 0.8 is missed once in 1,300), and all minima kept.
+LINE_BANDS, LINE_ROWS, LINE_MINIMA = 7, 2, 64
 #: A cut is the least of so many word pairs on either side.
-REACH = 4
+REACH = 5
 
 
 def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -45,7 +45,7 @@ def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.flatnonzero(least), [len(words)]]))
 
 
-BLOCKS = "doc_id long, block int, begin int, end int, key long"
+BLOCKS = "doc_id long, begin int, size int, key long"
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -61,9 +61,9 @@ def blocks(docs: DataFrame) -> DataFrame:
                     at = cuts(own)
                     raw = own.tobytes()
                     keys = [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                    parts.append((np.full(len(keys), i), np.arange(len(keys)), at[:-1], at[1:], np.array(keys, np.uint64)))
-                row, block, begin, end, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(block, pa.int32()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(signed(key))], names=[x.split()[0] for x in BLOCKS.split(", ")])
+                    parts.append((np.full(len(keys), i), at[:-1], np.diff(at), np.array(keys, np.uint64)))
+                row, begin, size, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array(signed(key))], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     return docs.mapInArrow(run, BLOCKS)
 
@@ -71,11 +71,14 @@ def blocks(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, least: int = PASSAGE_WORDS) -> DataFrame:
     """Runs of neighbouring blocks that other documents have too: doc_id, at, words, class_id, kept."""
     found = written(blocks(docs), "blocks")
-    repeats = found.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id <> last").select("key", "first")
-    marked = written(found.join(repeats, "key").select("doc_id", "block", "begin", "end", "first").distinct(), "repeated-blocks")
-    run = F.col("block") - F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "begin"))
-    here = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.begin") == F.col("begin"))
-    out = marked.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("begin").alias("at"), F.max("end").alias("end"), F.min("first.doc_id").alias("class_id"), F.bool_and(here).alias("kept"))
+    repeats = found.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).filter("class_id <> last").select("key", "class_id")
+    marked = written(found.join(repeats, "key").select("doc_id", "begin", "size", "class_id").distinct(), "repeated-blocks")
+    by_place = Window.partitionBy("doc_id").orderBy("begin", "size")
+    # a block begins a run unless one before it ends where it begins
+    ends = F.max(F.col("begin") + F.col("size")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    cut = marked.withColumn("cut", (F.coalesce(ends, F.lit(-1)) < F.col("begin")).cast("int"))
+    runs = cut.withColumn("run", F.sum("cut").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "run")
+    out = runs.agg(F.min("begin").alias("at"), F.max(F.col("begin") + F.col("size")).alias("end"), F.min("class_id").alias("class_id"), F.bool_and(F.col("class_id") == F.col("doc_id")).alias("kept"))
     return out.select("doc_id", F.col("at").cast("long").alias("at"), (F.col("end") - F.col("at")).cast("long").alias("words"), "class_id", "kept").filter(F.col("words") >= least)
 
 
@@ -84,7 +87,7 @@ def repeated_lines(docs: DataFrame, least: int = LINE_WORDS) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
     lines = lines.withColumn("words", F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")).cast("long")).filter(F.col("words") >= least)
     lines = lines.withColumn("line_id", F.xxhash64("doc_id", "at"))
-    classes = near_components(lines, words=5, percent=80, id_col="line_id", bands=LINE_BANDS, band_rows=LINE_ROWS)
+    classes = near_components(lines, words=5, percent=80, id_col="line_id", bands=LINE_BANDS, band_rows=LINE_ROWS, count=LINE_MINIMA)
     classes = written(classes.select(F.col("doc_id").alias("line_id"), "component_id").distinct(), "line-classes")
     sizes = classes.groupBy("component_id").count().filter("count > 1").select("component_id")
     shared = classes.join(sizes, "component_id")
@@ -100,7 +103,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``unit`` is ``line`` (``at``: its number in the text, from 0) or ``passage``
     (``at``: its first word).  ``class_id`` is the smallest document of its class, of
     a passage the smallest that has any of its parts.  Rows with ``kept`` false can be
-    removed: an earlier document, or place, has them.  A passage that repeats within
+    removed: an earlier document (of lines, or an earlier line) has them.  A passage that repeats within
     one document alone isn't reported.  Null and empty texts have no paragraphs; rows
     with a null id take no part; rows that repeat an id are one document.  An empty
     table gives no rows.  Other columns aren't read.
