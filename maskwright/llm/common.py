@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A batch of texts is worked on in slices of about so many bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: A side of a join may be broadcast up to this number of rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

@@ -19,7 +19,7 @@ from maskwright.llm.classifier import labelled_sample
 from maskwright.llm.common import Words, crc32_fold, mix, slices, small_batches, table
 
 #: Labelled rows that the model is fitted on, at most.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 BUCKETS = 1 << 17
 DIMS = 6
 WIDTHS = (1, 2, 3)
@@ -80,7 +80,7 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The embedding rows of all words, without punctuation around them, and offsets by text."""
     words = Words(texts)
     words.dictionary = [w.strip(STRIPPED) or w for w in words.dictionary]
-    return (mix(words.hashes()) % np.uint64(BUCKETS)).astype(np.int64), words.offsets
+    return (mix(words.hashes()) % np.uint64(BUCKETS)).astype(np.int32), words.offsets
 
 
 def train(buckets: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
@@ -94,7 +94,7 @@ def train(buckets: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: in
     rng = np.random.default_rng(seed)
     count = np.diff(offsets)
     owner = np.repeat(np.arange(len(labels)), count)
-    seen = np.unique(owner * BUCKETS + buckets)
+    seen = np.unique(owner * BUCKETS + buckets)  # a word counts once a text
     of, row = seen % BUCKETS, seen // BUCKETS
     pos = np.bincount(of, labels[row], BUCKETS)
     neg = np.bincount(of, 1 - labels[row], BUCKETS)
@@ -192,7 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5
 
     def part(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = rows.filter(pa.array(mask))
-        return *word_buckets(own.column("text").combine_chunks()), own.column("label").to_numpy().astype(np.int64)
+        found = [word_buckets(b.column("text")) for whole in own.combine_chunks().to_batches() for b in slices(whole, "text")]
+        offsets, end = [np.zeros(1, np.int64)], 0
+        for _, o in found:
+            offsets.append(o[1:] + end)
+            end += o[-1]
+        return np.concatenate([np.zeros(0, np.int32), *(b for b, _ in found)]), np.concatenate(offsets), own.column("label").to_numpy().astype(np.int64)
 
     model = train(*part(~apart))
     calibrate(model, *part(apart), [x for x, a in zip(langs, apart, strict=True) if a])
