@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A batch of texts is worked on in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 #: A side of a join may be broadcast up to this number of rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -114,6 +114,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, int)
     for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()  # workers live on from one operator to the next
 
 
 class Words:

@@ -23,7 +23,7 @@ from maskwright.llm.common import Words, mix, signed, slices, small_batches, tab
 #: Pieces that a shard is meant to hold.
 SHARD_PIECES = 50_000
 #: Words whose ids a worker remembers; a full memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _TAIL = ".,;:!?#$%&*()[]{}\"'-+=/<>@_~^|\\`"
 _TO_TAIL = r"(?s)^.*[^.,;:!?#$%&*()\[\]{}\"'\-+=/<>@_~^|\\`]"
 
