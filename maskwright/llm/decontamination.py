@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-One pass over the corpus finds every place where an n-gram of a test item stands.
-From the corpus counts of these n-grams each item takes, in every stretch of
-neighbouring n-grams, the rarest as its seeds; passages around seeds are aligned
+One pass over the corpus finds every place where an n-gram of a test item stands;
+each is a seed.  An item whose words can't reach the least score in a document is
+passed over by an upper bound; passages around the seeds of the others are aligned
 with their items word by word, so edited and paraphrased copies score too.
 """
 
@@ -12,64 +12,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import BROADCAST_ROWS, Words, ngrams, signed, slices, small_batches, table, written
+from maskwright.llm.common import BROADCAST_ROWS, Words, ngrams, slices, small_batches, table
 
-#: Words of a seed; of so many neighbouring n-grams of an item the rarest is a seed.
-SEED_WORDS, STRETCH = 4, 3
+#: Words of a seed.
+SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: The share of an item's highest possible score from which a document counts as a copy.
 LEAST_SCORE = 0.5
 
 
-def item_grams(items: DataFrame, words: int = SEED_WORDS) -> DataFrame:
-    """item_id, at, gram and the number of words of every n-gram of the test items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = Words(batch.column("text"))
-            grams, offsets = ngrams(found.hashes(), found.offsets, words)
-            count = np.diff(offsets)
-            ids = batch.column("item_id").take(pa.array(np.repeat(np.arange(len(count)), count)))
-            at = np.arange(len(grams)) - np.repeat(offsets[:-1], count)
-            yield pa.record_batch([ids, pa.array(at, pa.int64()), pa.array(signed(grams)), pa.array(np.repeat(np.diff(found.offsets), count), pa.int64())], names=["item_id", "at", "gram", "item_words"])
-
-    return items.mapInArrow(run, "item_id long, at long, gram long, item_words long")
-
-
-def _grams_in(docs: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
-    """Where in the documents the wanted n-grams stand: doc_id, gram, place."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                found = Words(batch.column("text"))
-                grams, offsets = ngrams(found.hashes(), found.offsets, words)
-                if len(known) and len(grams):
-                    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams)
-                else:
-                    hit = np.zeros(0, np.int64)
-                row = np.searchsorted(offsets, hit, "right") - 1
-                ids = batch.column("doc_id").take(pa.array(row))
-                yield pa.record_batch([ids, pa.array(signed(grams[hit])), pa.array(hit - offsets[row], pa.int64())], names=["doc_id", "gram", "place"])
-
-    return docs.mapInArrow(run, "doc_id long, gram long, place long")
-
-
-def seeds(grams: DataFrame, counts: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """The n-grams of each item that are the rarest of some ``stretch`` neighbours (the earliest of ties)."""
-    ranked = grams.join(counts, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    around = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, stretch - 1)
-    full = Window.partitionBy("item_id")
-    best = ranked.withColumn("best", F.min(F.struct("df", "at")).over(around)).withColumn("last", F.max("at").over(full))
-    # stretches that run out of the item's end say nothing new, unless the item has no full one
-    best = best.filter((F.col("at") + stretch - 1 <= F.col("last")) | (F.col("at") == 0))
-    chosen = best.select("item_id", F.col("best.at").alias("at")).distinct()
-    return ranked.join(chosen, ["item_id", "at"]).filter("df > 0").select("item_id", "at", "gram", "item_words", "df")
+class Index:
+    """The items that go to the tasks: their words, and where each of their n-grams stands."""
+
+    def __init__(self, rows: list[tuple[int, str]], words: int):
+        found = Words(pa.array([r[1] for r in rows], pa.string()))
+        self.ids, self.words, self.hashes, self.offsets = [r[0] for r in rows], words, found.hashes(), found.offsets
+        self.sizes = np.diff(found.offsets)
+        grams, self.gram_offsets = ngrams(self.hashes, found.offsets, words)
+        self.grams = grams
+        item = np.repeat(np.arange(len(rows)), np.diff(self.gram_offsets))
+        self.known, inverse = np.unique(grams, return_inverse=True)
+        pairs = np.unique(np.stack([inverse, item], 1), axis=0) if len(grams) else np.zeros((0, 2), np.int64)
+        self.holders = pairs[:, 1]
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.known) + 1))
+
+    def item(self, k: int) -> np.ndarray:
+        return self.hashes[self.offsets[k] : self.offsets[k + 1]]
+
+    def candidates(self, hit: np.ndarray, text: np.ndarray, least: float) -> np.ndarray:
+        """The items that have one of the known n-grams ``hit`` and enough words of the text for the least score."""
+        items = np.unique(np.concatenate([self.holders[self.starts[g] : self.starts[g + 1]] for g in hit]))
+        own = np.unique(text)
+        return np.array([k for k in items if bound(self.item(k), own) >= least], np.int64)
+
+    def places(self, k: int, grams: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Where item ``k`` would begin in the text by each of its n-grams that stands there."""
+        mine = self.grams[self.gram_offsets[k] : self.gram_offsets[k + 1]]
+        order = np.argsort(mine, kind="stable")
+        left, right = np.searchsorted(mine[order], grams, "left"), np.searchsorted(mine[order], grams, "right")
+        count = right - left
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
+        return np.repeat(places, count) - order[at]
+
+
+def bound(item: np.ndarray, own: np.ndarray) -> float:
+    """A share that no alignment of the item with words among ``own`` (ascending) exceeds.
+
+    Within an alignment a word of the item matches or costs a mismatch or a gap.
+    """
+    if not len(own):
+        return 0.0
+    present = own[np.minimum(np.searchsorted(own, item), len(own) - 1)] == item
+    total = np.concatenate([[0], np.cumsum(np.where(present, MATCH, max(MISMATCH, GAP)))])
+    return int((total - np.minimum.accumulate(total)).max()) / (MATCH * len(item))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int]:
@@ -106,71 +104,73 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE,
     """One row per document and test item found in it: doc_id, item_id, score, begin, end, item_words, seeds.
 
     ``score`` is the alignment's share of the highest score that the item can have;
-    ``begin`` and ``end`` are word offsets of the best passage.  Words are as
-    everywhere in this subpackage.  An item of fewer words than a seed is its own
-    only seed.  Null or empty texts and items, and rows with null ids, match nothing;
-    rows that repeat an id are one document where their texts are equal; of passages
-    that tie the first counts.  Empty tables give no rows.  Other columns aren't read.
-
-    The items are sent to the tasks while their n-grams number at most
+    ``begin`` and ``end`` are word offsets of the best passage, ``seeds`` the places
+    where an n-gram of the item stands.  Words are as everywhere in this subpackage.
+    A copy in which no ``words`` words in a row are left isn't looked for.  An item of
+    fewer words than a seed is found in documents of the same words alone.  Null or
+    empty texts and items, and rows with null ids, match nothing; rows that repeat an
+    id are one document where their texts are equal; of passages that tie the first
+    counts.  Empty tables give no rows.  Other columns aren't read.
+
+    The items are sent to the tasks while their words number at most
     BROADCAST_ROWS; a larger set is worked off in as many parts by item.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null").dropDuplicates(["item_id"])
-    grams = written(item_grams(items, words), "item-grams")
-    parts = max(1, -(-grams.count() // BROADCAST_ROWS))
+    total = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    parts = max(1, -(-total // BROADCAST_ROWS))
     out = None
     for part in range(parts):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part
-        one = _contaminated(docs, items.filter(mine), grams.filter(mine), least, words)
+        one = _contaminated(docs, items.filter(mine), least, words)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _contaminated(docs: DataFrame, items: DataFrame, grams: DataFrame, least: float, words: int) -> DataFrame:
-    spark = docs.sparkSession
-    wanted = np.unique(np.array([r[0] for r in grams.select("gram").distinct().collect()], np.int64).view(np.uint64))  # at most BROADCAST_ROWS
-    hits = written(_grams_in(docs, wanted, words), "gram-places")
-    counts = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    chosen = written(seeds(grams, counts), "seeds")
-    lengths = F.broadcast(chosen.select("item_id", "at", "gram", "item_words"))  # a part of the item n-grams
-    # a document's passages: where a seed stands, the item's words before and behind it with room for gaps
-    near = hits.join(lengths, "gram").select("doc_id", "item_id", "item_words", (F.col("place") - F.col("at")).alias("from"))
-    pairs = near.groupBy("doc_id", "item_id", "item_words").agg(F.count("*").alias("seeds"), F.array_sort(F.collect_set(F.expr("from div greatest(1, item_words div 2)"))).alias("halves"))
-    pairs = written(pairs, "passages")
-    by_doc = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_words", "seeds", "halves")).alias("found"))
-    texts = {r[0]: r[1] for r in items.select("item_id", "text").collect()}  # the part's items, as bounded as their n-grams
-    shared = spark.sparkContext.broadcast(texts)
+def _contaminated(docs: DataFrame, items: DataFrame, least: float, words: int) -> DataFrame:
+    rows = [(r[0], r[1]) for r in items.select("item_id", "text").filter("text is not null").orderBy("item_id").collect()]  # at most about BROADCAST_ROWS words
+    shared = docs.sparkSession.sparkContext.broadcast(Index(rows, words))
+    names = [x.split()[0] for x in ALIGNED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def found_in(index: Index, text: np.ndarray, grams: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
+        hit = np.unique(np.searchsorted(index.known, grams))
+        for k in index.candidates(hit, text, least):
+            item, size = index.item(k), int(index.sizes[k])
+            begins = index.places(k, grams, places)
+            half = max(1, size // 2)
+            best = None
+            for a, b in _stretches(np.unique(begins // half).tolist(), half, size, len(text)):
+                if b - a < len(text) and bound(item, np.unique(text[a:b])) < least:
+                    continue
+                score, _, begin, end = align(item, text[a:b])
+                if best is None or score > best[0]:
+                    best = (score, a + begin, a + end)
+            if best and best[0] >= least:
+                yield index.ids[k], *best, size, len(begins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        names = [x.split()[0] for x in ALIGNED.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        index = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
-                words_ = Words(batch.column("text"))
-                hashes, rows = words_.hashes(), []
-                for i, (doc_id, found) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("found").to_pylist(), strict=True)):
-                    text = hashes[words_.offsets[i] : words_.offsets[i + 1]]
-                    for f in found:
-                        item = f["item_id"]
-                        if item not in known:
-                            known[item] = Words(pa.array([shared.value[item]])).hashes()
-                        best = None
-                        half = max(1, f["item_words"] // 2)
-                        for a, b in _stretches(f["halves"], half, f["item_words"], len(text)):
-                            score, _, begin, end = align(known[item], text[a:b])
-                            if best is None or score > best[0]:
-                                best = (score, a + begin, a + end)
-                        if best and best[0] >= least:
-                            rows.append((doc_id, item, *best, f["item_words"], f["seeds"]))
-                columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+                found = Words(batch.column("text"))
+                hashes, out = found.hashes(), []
+                grams, offsets = ngrams(hashes, found.offsets, index.words)
+                if len(index.known) and len(grams):
+                    hits = np.flatnonzero(index.known[np.minimum(np.searchsorted(index.known, grams), len(index.known) - 1)] == grams)
+                else:
+                    hits = np.zeros(0, np.int64)
+                row = np.searchsorted(offsets, hits, "right") - 1
+                ids = batch.column("doc_id")
+                for i in np.unique(row).tolist():
+                    mine = hits[np.searchsorted(row, i) : np.searchsorted(row, i, "right")]
+                    text = hashes[found.offsets[i] : found.offsets[i + 1]]
+                    out += [(ids[i].as_py(), *r) for r in found_in(index, text, grams[mine], mine - offsets[i])]
+                columns = list(zip(*out, strict=True)) or [[]] * len(names)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    wide = by_doc.count() <= BROADCAST_ROWS // 10
-    joined = docs.join(F.broadcast(by_doc) if wide else by_doc, "doc_id").select("doc_id", "text", "found")
-    found = joined.mapInArrow(run, ALIGNED)
+    found = docs.mapInArrow(run, ALIGNED)
     best = F.max(F.struct("score", (-F.col("begin")).alias("before"), "end", "item_words", "seeds"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", (-F.col("b.before")).alias("begin"), "b.end", "b.item_words", "b.seeds")
 

@@ -258,6 +258,29 @@ def test_copies_of_benchmark_items_are_found(spark):
     assert all(got[i, i].score == 1.0 and (got[i, i].begin, got[i, i].end) == (50, 50 + got[i, i].item_words) for i in range(12))
 
 
+@pytest.mark.parametrize("step", [5, 6])
+@pytest.mark.parametrize("beside", [False, True])
+def test_copies_with_every_fifth_or_sixth_word_changed(spark, step, beside):
+    rng = random.Random(step)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    items = [(i, " ".join(word() for _ in range((17, 30)[i % 2]))) for i in range(10)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        w[step - 1 :: step] = [word() for _ in w[step - 1 :: step]]
+        docs.append((i, " ".join([*(word() for _ in range(60)), *w, *(word() for _ in range(60))])))
+    docs += [(100 + i, text) for i, text in items if beside]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i + j, i) for i in range(10) for j in ((0, 100) if beside else (0,))}
+
+
+def test_bound_of_alignments():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = rng.integers(0, 9, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 9, rng.integers(0, 9)).astype(np.uint64)
+        assert decontamination.bound(a, np.unique(b)) >= decontamination.align(a, b)[0]
+
+
 def test_license_texts_and_lines(spark):
     mit = next(t for t in licenses.NOTICES["MIT"] if t.startswith("MIT License"))
     texts = ["// MIT LICENCE\n// Copyright (c) 2020 Someone\n" + mit.partition("\n")[2].upper(), "Text\n  * released under the mit license *\nmore", "Released under the MIT License of words", None, "", "Copyright 2020 X"]
