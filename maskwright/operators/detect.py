@@ -82,15 +82,11 @@ def parse_terms(lines: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
 
-def detect_terms(docs: DataFrame, terms: DataFrame, bound: int = 20_000) -> DataFrame:
-    """Terms that stand in a document.  A larger list goes through ``matcher.find``."""
-    if terms.count() > bound:
-        from maskwright.operators.matcher import occurrences
-
-        found = occurrences(docs, terms.select("value")).select("doc_id", F.col("original").alias("value")).distinct().join(terms, "value")
-    else:
-        found = docs.join(F.broadcast(terms), F.col("text").contains(F.col("value"))).select("doc_id", "value", "tag", "seq")
-    return _hits(found, "terms")
+def detect_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Terms that stand in a document, within other words and terms too."""
+    from maskwright.operators.matcher import contained
+
+    return _hits(contained(docs, terms), "terms")
 
 
 def detect_consensus(cells: DataFrame, detected: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import cells as C
-from maskwright.operators import detect, registry, restore
+from maskwright.operators import detect, matcher, registry, restore
 from maskwright.operators.verify import passed_only, residual_names, verify
 from maskwright.plans.flow import anonymise, preview
 
@@ -60,6 +60,15 @@ def test_deselecting_drops_links(spark):
     assert registry.deselect(rows, tags=["EMAIL"]).count() == 2
 
 
+@pytest.mark.parametrize("block", [2, 100])
+def test_terms_are_found_within_others(spark, monkeypatch, block):
+    monkeypatch.setattr(matcher, "BLOCK_VALUES", block)
+    terms = detect.parse_terms(spark.createDataFrame([("Ann", 0), ("Anna Smith", 1), ("Smith Jones", 2), ("FINANCIAL: 123", 3), ("absent", 4)], "line string, seq long"))
+    found = detect.detect_terms(docs_of(spark, "for Anna Smith Jones, 51234", "Ann", None), terms)
+    assert sorted((r.doc_id, r.value, r.tag) for r in found.collect()) == [(0, "123", "FINANCIAL"), (0, "Ann", "PERSON"), (0, "Anna Smith", "PERSON"), (0, "Smith Jones", "PERSON"), (1, "Ann", "PERSON")]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_unions_of_overlapping_values(spark):
     docs = docs_of(spark, "Doctor Mary Jones came", "Mary JonesBob", "Doctor Mary\nJones")
     hits = [(d, v, "PERSON") for d, vs in enumerate([["Doctor Mary", "Mary Jones"], ["Mary Jones", "Bob"], ["Doctor Mary", "Mary\nJones"]]) for v in vs]
