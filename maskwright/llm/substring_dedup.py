@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import Words, mix, signed, slices, small_batches, table, written
@@ -68,18 +68,54 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
+PASSAGES = "doc_id long, at long, words long, class_id long, kept boolean"
+
+
+def passages_of(doc_id: int, begin: np.ndarray, end: np.ndarray, class_id: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """PASSAGES of one document from its repeated blocks.
+
+    Blocks that touch or overlap are one stretch, which counts from ``least`` words;
+    its rows change where the decision does.  A word of a block that this document is
+    the first to have is kept, whatever else it belongs to; it has a row if ``least``
+    words in a row are.
+    """
+    size = int(end.max())
+    state, first = np.zeros(size + 1, np.int8), np.zeros(size + 1, np.int64)
+    for k in np.argsort(-class_id, kind="stable"):  # of each word the smallest document comes last
+        state[begin[k] : end[k]], first[begin[k] : end[k]] = 1, class_id[k]
+    for k in np.flatnonzero(class_id == doc_id):
+        state[begin[k] : end[k]], first[begin[k] : end[k]] = 2, doc_id
+    at = np.flatnonzero(np.diff(state, prepend=0))  # state ends with 0
+    bounds = list(zip(at[:-1].tolist(), at[1:].tolist(), state[at[:-1]].tolist(), strict=True))
+    stretch: list[tuple[int, int, int]] = []
+    for one in [*bounds, (size, size, 0)]:
+        if one[2]:
+            stretch.append(one)
+            continue
+        if stretch and stretch[-1][1] - stretch[0][0] >= least:
+            yield from ((doc_id, a, b - a, int(first[a:b].min()), kind == 2) for a, b, kind in stretch if kind == 1 or b - a >= least)
+        stretch = []
+
+
 def repeated_passages(docs: DataFrame, least: int = PASSAGE_WORDS) -> DataFrame:
     """Runs of neighbouring blocks that other documents have too: doc_id, at, words, class_id, kept."""
     found = written(blocks(docs), "blocks")
     repeats = found.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")).filter("class_id <> last").select("key", "class_id")
-    marked = written(found.join(repeats, "key").select("doc_id", "begin", "size", "class_id").distinct(), "repeated-blocks")
-    by_place = Window.partitionBy("doc_id").orderBy("begin", "size")
-    # a block begins a run unless one before it ends where it begins
-    ends = F.max(F.col("begin") + F.col("size")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    cut = marked.withColumn("cut", (F.coalesce(ends, F.lit(-1)) < F.col("begin")).cast("int"))
-    runs = cut.withColumn("run", F.sum("cut").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "run")
-    out = runs.agg(F.min("begin").alias("at"), F.max(F.col("begin") + F.col("size")).alias("end"), F.min("class_id").alias("class_id"), F.bool_and(F.col("class_id") == F.col("doc_id")).alias("kept"))
-    return out.select("doc_id", F.col("at").cast("long").alias("at"), (F.col("end") - F.col("at")).cast("long").alias("words"), "class_id", "kept").filter(F.col("words") >= least)
+    own = found.join(repeats, "key").groupBy("doc_id").agg(F.collect_set(F.struct("begin", "size", "class_id")).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("own")
+            begin, size, class_id = (x.to_numpy() for x in lists.flatten().flatten())
+            ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+            begin, out = begin.astype(np.int64), []
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                out += passages_of(doc_id, begin[a:b], begin[a:b] + size[a:b], class_id[a:b], least)
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int64()] * 4 + [pa.bool_()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PASSAGES.split(", ")])
+
+    return own.mapInArrow(run, PASSAGES)
 
 
 def repeated_lines(docs: DataFrame, least: int = LINE_WORDS) -> DataFrame:
@@ -103,7 +139,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``unit`` is ``line`` (``at``: its number in the text, from 0) or ``passage``
     (``at``: its first word).  ``class_id`` is the smallest document of its class, of
     a passage the smallest that has any of its parts.  Rows with ``kept`` false can be
-    removed: an earlier document (of lines, or an earlier line) has them.  A passage that repeats within
+    removed: earlier documents (of lines, or an earlier line) have and keep all their
+    parts.  A stretch of PASSAGE_WORDS repeated words has a row for each part that is not
+    kept, maybe a shorter one, and for each kept part of as many words.  A passage that repeats within
     one document alone isn't reported.  Null and empty texts have no paragraphs; rows
     with a null id take no part; rows that repeat an id are one document.  An empty
     table gives no rows.  Other columns aren't read.

@@ -130,6 +130,26 @@ def test_substring_dedup_finds_shared_passages(spark):
     assert [r.doc_id for r in found if r.unit == "passage" and r.kept and r.doc_id < 8] == [0]
 
 
+def test_every_repeated_block_keeps_one_document(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    fill = lambda n: [word() for _ in range(n)]
+    a, b, shared, rest = fill(60), fill(60), fill(60), fill(80)
+    texts = {1: [*fill(30), *a, *fill(30)], 5: [*a, *b], 9: [*fill(30), *b, *fill(30)], 11: [*fill(30), *shared, *fill(30)], 15: [*shared, *rest], 22: [*shared, *rest]}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    removed = {}
+    for r in substring_dedup.repeated_passages(docs).collect():
+        if not r.kept:
+            removed.setdefault(r.doc_id, set()).update(range(r.at, r.at + r.words))
+    assert {5, 9, 15, 22} == set(removed) and removed[22] == set(range(140))
+    left = lambda doc, piece: [w for k, w in enumerate(texts[doc]) if k not in removed.get(doc, ()) and w in piece]
+    assert left(1, a) == a and left(5, b)[-40:] == b[-40:] and left(15, rest)[-70:] == rest[-70:]
+    blocks = {}
+    for r in substring_dedup.blocks(docs).collect():
+        blocks.setdefault(r.key, {}).setdefault(r.doc_id, []).append(not removed.get(r.doc_id, set()) & set(range(r.begin, r.begin + r.size)))
+    assert all(any(all(x) for x in found.values()) for found in blocks.values() if len(found) > 1)
+
+
 def test_cuts_depend_on_their_surroundings_alone():
     rng = np.random.default_rng(3)
     passage = rng.integers(0, 2**63, 60).astype(np.uint64)
