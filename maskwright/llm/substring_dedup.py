@@ -23,10 +23,10 @@ from maskwright.llm.minhash import near_components
 
 #: Words of a line that counts as a paragraph, and of a repeated passage.
 LINE_WORDS, PASSAGE_WORDS = 20, 20
-#: Bands and minima of a band for lines (a pair at 0.8 is missed once in 1,300), and all minima kept.
-LINE_BANDS, LINE_ROWS, LINE_MINIMA = 7, 2, 64
+#: Bands and minima of a band for lines (a pair at 0.8 is missed once in 3,500), and all minima kept.
+LINE_BANDS, LINE_ROWS, LINE_MINIMA = 8, 2, 64
 #: A cut is the least of so many word pairs on either side.
-REACH = 5
+REACH = 4
 
 
 def cuts(words: np.ndarray, reach: int = REACH) -> np.ndarray:
