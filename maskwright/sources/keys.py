@@ -24,9 +24,17 @@ def read_keys(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(keys: DataFrame) -> DataFrame:
-    """Keys with key_no by (created_at, session_id): their number is that of the chosen files."""
-    order = Window.partitionBy(F.lit(0)).orderBy("created_at", "session_id")
-    return keys.withColumn("key_no", F.row_number().over(order))
+    """Keys with key_no by (created_at, session_id): their number is that of the chosen files.
+
+    Only these two columns are sorted, by ranges; keys that are equal in both have a copy number.
+    """
+    same = Window.partitionBy("created_at", "session_id").orderBy(F.lit(0))
+    copies = keys.withColumn("_copy", F.row_number().over(same))
+    order = copies.select("created_at", "session_id", "_copy").orderBy("created_at", "session_id", "_copy")
+    schema = "_created string, _session string, _no int, key_no int"
+    places = keys.sparkSession.createDataFrame(order.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1)), schema)
+    there = F.col("created_at").eqNullSafe(F.col("_created")) & F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("_copy") == F.col("_no"))
+    return copies.join(places, there).select(*keys.columns, "key_no")
 
 
 def recent_keys(keys: DataFrame, most: int = 1000) -> DataFrame:

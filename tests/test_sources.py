@@ -62,6 +62,13 @@ def test_keys_and_sinks(spark, tmp_path):
     assert name == "list_restored.csv"
 
 
+def test_keys_are_numbered_by_age(spark):
+    rows = [("b", "2024-02-01"), ("a", "2024-02-01"), ("c", None), ("d", "2024-01-01"), ("a", "2024-02-01"), ("c", None)]
+    out = keys.numbered(spark.createDataFrame(rows, "session_id string, created_at string"))
+    assert [(r.session_id, r.key_no) for r in out.orderBy("key_no").collect()] == [("c", 1), ("c", 2), ("d", 3), ("a", 4), ("a", 5), ("b", 6)]
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+
+
 def test_stream(spark, tmp_path):
     rows = [(1, "a@example.com a@example.com", "2024-01-01 00:00:00"), (2, "a@example.com b@example.com", "2024-01-01 00:05:00")]
     spark.createDataFrame(rows, "doc_id long, text string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
