@@ -31,6 +31,8 @@ class Rule(NamedTuple):
 
 RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"), Rule("allow", "com/fr/"), Rule("block", "com/de/"))
 ROUNDS, DAMPING = 12, 0.85
+#: Rounds go on while they add more than this to all shares together.
+TOLERANCE = 1e-6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<(?:a|area|link)\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -64,7 +66,7 @@ def host_links(pages: DataFrame, host: str, html_col: str = "html") -> DataFrame
 
 
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust and distrust after ``rounds`` of personalised PageRank.
+    """host, trust and distrust by personalised PageRank: ``rounds``, and more until the shares stay and no host is new.
 
     ``links`` has src and dst; ``seeds`` has host, allowed and blocked (weights).
     Trust walks along the links from the allowed seeds, distrust against them from
@@ -81,10 +83,16 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     start = written(start, "seeds")
     rank = start.select("kind", "host", (F.col("s") * (1 - damping)).alias("s"))
     if edges.take(1):
-        for _ in range(rounds):
+        before, k = None, 0
+        while True:
             moved = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("s") * damping / F.col("degree")).alias("s"))
             back = start.select("kind", "host", (F.col("s") * (1 - damping)).alias("s"))
             rank = written(moved.unionByName(back).groupBy("kind", "host").agg(F.sum("s").alias("s")), "rank")
+            k, now = k + 1, rank.agg(F.sum("s"), F.count("*")).first()
+            # shares only grow from round to round, so their sums tell how much they changed
+            if k >= rounds and before and now[0] - before[0] <= TOLERANCE and now[1] == before[1]:
+                break
+            before = now
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("s")).otherwise(0.0))
     return rank.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 

@@ -240,6 +240,12 @@ def test_trust_flows_along_links_and_distrust_against_them(spark):
     assert all(abs(next(r.trust for r in got.values() if r.host == h) - trust[h]) < 1e-12 for h in hosts)
 
 
+def test_shares_reach_the_end_of_long_chains(spark):
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}") for i in range(15)], "src string, dst string")
+    got = {r.host: r.trust for r in urls.propagate(links, spark.createDataFrame([("h0", 1, 0)], "host string, allowed long, blocked long")).collect()}
+    assert set(got) == {f"h{i}" for i in range(16)} and all(abs(got[f"h{i}"] - 0.15 * 0.85**i) < 1e-12 for i in range(16))
+
+
 def smith_waterman(a, b, match=2, miss=-1, gap=-1):
     best, table = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
