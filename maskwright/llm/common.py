@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 3 << 20
 #: A side of a join may be broadcast up to this number of rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows of one key that one task may get, where there are fewer than a thousand times as many.
+HOT_ROWS = 5_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -38,10 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Where the setting is missing, as in local tests, a folder of this machine is
-    made and entered in the session so that every later call uses the same one.
+    made and entered in the session so that every later call uses the same one; on
+    a cluster, whose executors wouldn't see it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("maskwright.scratch.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="maskwright-")
         spark.conf.set("maskwright.scratch.dir", found)
     return found.rstrip("/")
@@ -78,22 +83,48 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(maybe_broadcast(ids, ids.count()), id_col, "left_anti").select(docs.columns)
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = 5_000) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = HOT_ROWS) -> DataFrame:
     """Left join of ``rows`` with one row of ``groups`` per key, safe against hot keys.
 
     Groups of more than max(hot, total / 1000) rows number at most 1000 and are
     broadcast; rows of the others meet in a shuffle, where no key has more than
-    that many rows.  Rows with a null key get nulls.
+    that many rows.  Rows with a null key get nulls and aren't shuffled.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    bound = max(hot, total // 1000)
-    large = groups.filter(F.col(size) > bound)
-    if total <= bound or not large.take(1):
-        return rows.join(groups, keys, "left")
-    marked = rows.join(F.broadcast(large.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
-    one = marked.filter("_hot").drop("_hot").join(F.broadcast(large), keys, "left")
-    rest = marked.filter("_hot is null").drop("_hot").join(groups.filter(F.col(size) <= bound), keys, "left")
-    return one.unionByName(rest)
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    bound = max(hot, (total or 0) // 1000)
+    empty = F.coalesce(*(F.when(F.col(k).isNull(), True) for k in keys), F.lit(False))
+    known = rows.filter(~empty)
+    parts = [rows.filter(empty)]
+    if (most or 0) > bound:
+        large = groups.filter(F.col(size) > bound)
+        known = known.join(F.broadcast(large.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+        parts.append(known.filter("_hot").drop("_hot").join(F.broadcast(large), keys, "left"))
+        known, groups = known.filter("_hot is null").drop("_hot"), groups.filter(F.col(size) <= bound)
+    out = known.join(groups, keys, "left")
+    for part in parts:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def meet(rows: DataFrame, one: DataFrame, keys: list[str], spread: str, hot: int = HOT_ROWS, at_most: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has a row per key, safe against hot keys.
+
+    Where a key has more than max(hot, total / 1000) rows, they are dealt by the
+    column ``spread`` to parts of about that size, and the key's row of ``one`` is
+    repeated for each part: under 2,000 rows more in all.  A known bound of the number
+    of rows (``at_most``) saves counting where no key can be hot.
+    """
+    if at_most is not None and at_most <= hot:
+        return rows.join(one, keys)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_c"))
+    total, most = sizes.agg(F.sum("_c"), F.max("_c")).first()
+    bound = max(hot, (total or 0) // 1000)
+    if (most or 0) <= bound:
+        return rows.join(one, keys)
+    large = F.broadcast(sizes.filter(F.col("_c") > bound).select(*keys, F.ceil(F.col("_c") / bound).cast("int").alias("_parts")))
+    dealt = rows.join(large, keys, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    spare = one.join(large, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
+    return dealt.join(spare, [*keys, "_part"]).drop("_part")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,14 +9,14 @@ clearly different ones; the rest are confirmed on the full sets.
 Each node of a bucket is first compared with one of them.  Where a bucket still holds
 several components, its nodes are compared with another one and with the best linked
 one of a different component; then the nodes of different ones are: all in a small
-bucket, and in a larger one those that share a gram in the rare prefixes of their
-sets, which loses no pair at the threshold.  So no bucket is cut short, and none that
-is one component is paired off.
+bucket, and in a larger one those whose *differences* to the bucket's middle share a
+rare gram (see ``by_difference``), which loses no pair at the threshold.  So no bucket
+is cut short, and none is paired off.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import sqrt
 
 import numpy as np
@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Words, attach, maybe_broadcast, mix, ngrams, signed, slices, small_batches, table, written
+from maskwright.llm.common import Words, attach, maybe_broadcast, meet, mix, ngrams, signed, slices, small_batches, table, written
 from maskwright.llm.components import connected_components
 
 MINIMA, BITS = 256, 4
 BANDS, ROWS = 32, 4
 #: Buckets of up to so many nodes compare all of them.
-SMALL_BUCKET = 32
+SMALL_BUCKET = 16
 #: Standard deviations below the threshold at which an estimate discards a pair.
 SPREAD = 5
 
@@ -130,37 +130,63 @@ class Linker:
         self.most = int(count * (1 - agree + SPREAD * sqrt(agree * (1 - agree) / count)))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a < b) whose sizes and estimated similarity don't rule them out."""
+        """The pairs (a < b, distinct) whose sizes and estimated similarity don't rule them out."""
+        pairs = written(pairs.select("a", "b"), "pairs")
+        some = pairs.count()
         side = lambda x: self.nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-        found = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+        found = meet(meet(pairs, side("a"), ["a"], "b", at_most=some), side("b"), ["b"], "a", at_most=some)
         sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
         return found.filter(sizes & (differing("s_a", "s_b", self.count) <= self.most)).select("a", "b")
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
-        found = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), "b")
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"g_{x}"))
+        some = pairs.count()
+        found = meet(meet(pairs, side("a"), ["a"], "b", at_most=some), side("b"), ["b"], "a", at_most=some)
         both = F.size(F.array_intersect("g_a", "g_b"))
         return found.select("a", "b", both.alias("both"), (F.size("g_a") + F.size("g_b") - both).alias("either")).filter(f"100 * both >= {self.percent} * either").select("a", "b")
 
 
-def by_prefix(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that can reach the threshold, by the rare prefixes of their sets.
+def by_difference(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components that can reach the threshold, by what sets them apart from a middle.
 
-    ``open_`` has id and component.  Two sets at the threshold share a gram among the
-    first n - ceil(t * n) + 1 of each, in one order of all grams, rarest first.
+    ``pairs`` has middle, id and component; nodes of one middle are compared.  With
+    D(x) the grams by which x differs from m (added and missing ones), x and y are as
+    similar as the threshold t asks where |D(x)| + |D(y)| - 2 |D(x) & D(y)| is at most
+    c (|x| + |y|), c = (1 - t) / (1 + t).  As one of the two at least isn't linked with
+    m, their differences must share ``need`` grams, one at least.  So they share one
+    among the first |D| - need + 1 of each, rarest first, where ``need`` is the least
+    that any partner asks for: ``loose`` for any, ``tight`` for one not linked with m.
+    Copies that were edited each in its own way share hardly any rare gram, however
+    many there are.
     """
-    grams = open_.join(sets, "id").select("id", "component", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    frequent = grams.groupBy("gram").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("id").orderBy("f", "gram")
-    placed = grams.join(frequent, "gram").withColumn("at", F.row_number().over(order))
-    prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
-    kept = written(placed.filter((F.col("at") <= prefix) & (F.col("f") > 1)).select("gram", "id", "component", "n", "at"), "prefixes")
-    side = lambda x: kept.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "at")))
+    up, down = 100 + percent, 100 - percent
+    side = lambda x, g: sets.select(F.col("id").alias(x), F.col("grams").alias(g))
+    own = meet(pairs.join(side("id", "own"), "id"), side("middle", "base"), ["middle"], "id")
+    missing = F.transform(F.array_except("base", "own"), lambda g: F.bitwise_not(g))
+    apart = own.select("middle", "id", "component", F.size("own").alias("n"), F.size("base").alias("m"), F.concat(F.array_except("own", "base"), missing).alias("apart"))
+    apart = apart.withColumn("d", F.size("apart")).withColumn("linked", F.expr(f"{up} * d <= {down} * (n + m)"))
+    tight = F.expr(f"({up}L * d + {down}L * (m - n)) div {2 * up} + 1")
+    loose = F.when(F.col("linked"), tight).otherwise(F.greatest(F.lit(1), F.expr(f"cast(ceil(({up}L * d - {down}L * (n + m)) / 200D) as int)")))
+    apart = written(apart.withColumn("loose", loose.cast("int")).withColumn("tight", F.greatest(tight.cast("int"), "loose")), "differences")
+    grams = apart.select("middle", "id", F.explode("apart").alias("gram"))
+    frequent = written(grams.groupBy("middle", "gram").agg(F.count("*").alias("f")).filter("f > 1"), "frequent")
+    ranked = attach(grams, frequent, ["middle", "gram"], "f").filter("f > 1").groupBy("middle", "id").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("shared"))
+    # grams of one set alone come before all others and match none
+    placed = apart.drop("apart").join(ranked, ["middle", "id"]).select("*", F.posexplode("shared").alias("k", "one"))
+    placed = placed.withColumn("at", F.col("d") - F.size("shared") + F.col("k") + 1).withColumn("gram", F.col("one.gram")).filter("at <= d - loose + 1")
+    kept = written(placed.select("middle", "gram", "id", "component", "n", "d", "at", "linked", "tight"), "prefixes")
+    ends = lambda rows, x: rows.select("middle", "gram", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "d", "at")))
     # grams that can still be shared from these places on must be enough
-    reach = (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    on = (F.col("l.gram") == F.col("r.gram")) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & reach & near
-    return side("a").alias("l").join(side("b").alias("r"), on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    need = F.col("d_a") + F.col("d_b") - 2 * (1 + F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")))
+    reach = (need * up <= (F.col("n_a") + F.col("n_b")) * down) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    on = (F.col("l.middle") == F.col("r.middle")) & (F.col("l.gram") == F.col("r.gram")) & (F.col("component_a") != F.col("component_b")) & reach
+    alone, close = kept.filter("not linked"), kept.filter("linked")
+    short = alone.filter("at <= d - tight + 1")
+    both = ends(short, "a").alias("l").join(ends(short, "b").alias("r"), on & (F.col("id_a") < F.col("id_b")))
+    one = ends(alone, "a").alias("l").join(ends(close, "b").alias("r"), on)
+    ids = [F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")]
+    return both.select(ids).unionByName(one.select(ids))
 
 
 def _across(open_: DataFrame) -> DataFrame:
@@ -170,8 +196,8 @@ def _across(open_: DataFrame) -> DataFrame:
     return open_.alias("l").join(other.alias("r"), on).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
-def _spokes(open_: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Each node of a bucket with one of another component: the best linked, or another for each bucket."""
+def _with_middle(open_: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Each node of a bucket with the best linked one, or (without links) another one for each bucket."""
     if links is None:
         middle = F.min(F.struct(F.xxhash64("id", "key"), "id", "component"))
     else:
@@ -179,38 +205,46 @@ def _spokes(open_: DataFrame, links: DataFrame | None) -> DataFrame:
         open_ = open_.join(degree, "id", "left")
         middle = F.max(F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("id"), "id", "component"))
     chosen = open_.groupBy("key").agg(middle.alias("m")).select("key", F.col("m.id").alias("middle"), F.col("m.component").alias("its"))
-    return open_.join(chosen, "key").filter("component <> its").select(F.least("id", "middle").alias("a"), F.greatest("id", "middle").alias("b"))
+    return meet(open_.select("key", "id", "component", "c"), chosen, ["key"], "id")
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = ROWS, count: int = MINIMA) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def _spokes(rows: DataFrame) -> DataFrame:
+    """The pairs of nodes and middles that are in different components."""
+    return rows.filter("component <> its").select(F.least("id", "middle").alias("a"), F.greatest("id", "middle").alias("b"))
 
-    Documents are linked where 100 * |both| >= percent * |either| of their distinct
-    shingles of ``words`` words; a text of fewer words has its whole sequence as its
-    only shingle.  A component's id is its smallest doc_id; that document is kept.
-    Texts without words, and null ones, have no shingles and no links.  Rows with a
-    null id take no part: they come back with a null component, kept.  Rows that
-    repeat an id are one node, where their texts are equal; all come back.  Ties in
-    similarity need no order.  An empty table gives no rows.  Other columns aren't read.
+
+def joined(component: DataFrame, links: DataFrame) -> DataFrame:
+    """``component`` (id, component) with further links: what they join is contracted first."""
+    ends = links.select("a", "b").join(component.toDF("a", "x"), "a", "left").join(component.toDF("b", "y"), "b", "left")
+    ends = written(ends.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")), "ends")
+    merged = connected_components(ends, "x", "y").toDF("component", "into")
+    new = ends.select("a", "x").union(ends.select("b", "y")).filter("a = x").select(F.col("a").alias("id"), F.col("x").alias("component")).distinct()
+    every = component.unionByName(new.join(component.select("id"), "id", "left_anti"))
+    return written(every.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component")), "component")
+
+
+def cluster(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, count: int = MINIMA) -> DataFrame:
+    """``rows`` (a table of SKETCH rows; doc_id is any id) without signature and bands, and with the component of each set.
+
+    ``sets_of`` gives ``id`` and ``grams`` for a table of ``id``.  Sets are linked where
+    100 * |both| >= percent * |either|; a component's id is its smallest doc_id.  Rows
+    with a null id or an empty set get a null component; rows of one set are one node.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    least = -(-percent // (100 - percent))  # smaller sets are linked with equal ones only
-    rows = written(sketches(docs, words, least, bands, band_rows, count), "sketches")
     same = rows.filter("n > 0 and doc_id is not null").groupBy("high", "low")
     groups = written(same.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "nodes")
 
     keys = groups.filter("bands is not null").select("node", F.explode("bands").alias("key"))
     # one order of all nodes gives a group the same middle in most of its bands
     middle = F.min(F.struct(F.xxhash64("node"), "node"))["node"]
-    sizes = keys.groupBy("key").agg(F.count("*").alias("c"), middle.alias("middle")).filter("c > 1")
-    buckets = written(keys.join(sizes, "key"), "buckets")
+    sizes = written(keys.groupBy("key").agg(F.count("*").alias("c"), middle.alias("middle")).filter("c > 1"), "sizes")
+    buckets = written(attach(keys, sizes, ["key"], "c").filter("c > 1"), "buckets")
     linker = Linker(groups, percent, count)
-    spokes = buckets.filter("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b"))
+    spokes = buckets.filter("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
     tried = written(linker.likely(spokes), "likely")
     ids = tried.select(F.col("a").alias("id")).union(tried.select("b")).union(buckets.filter("c > 2").select("node")).distinct()
-    sets = written(full_sets(docs, written(ids, "candidates"), words), "sets")
+    sets = written(sets_of(written(ids, "candidates")), "sets")
     links = written(linker.links(tried, sets), "confirmed")
-    component = connected_components(links)
+    component = written(connected_components(links), "component")
     members = buckets.filter("c > 2").select("key", F.col("node").alias("id"), "c")
 
     def placed(nodes: DataFrame, key: str) -> DataFrame:
@@ -218,27 +252,49 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     for step in ("another middle", "best linked", "all"):
         # buckets that still hold several components
-        now = placed(members, "id")
+        now = written(placed(members, "id"), "placed")
         split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        open_ = written(now.join(split, "key", "left_semi"), "open")
+        open_ = written(meet(now, split, ["key"], "id"), "open")
         if not open_.take(1):
             break
+        around = written(_with_middle(open_, None if step == "another middle" else links), "around")
+        pairs = _spokes(around)
         if step == "all":
-            pairs = _across(open_.filter(F.col("c") <= SMALL_BUCKET)).unionByName(by_prefix(open_.filter(F.col("c") > SMALL_BUCKET).select("id", "component").distinct(), sets, percent))
-        else:
-            pairs = _spokes(open_, links if step == "best linked" else None)
+            large = around.filter((F.col("c") > SMALL_BUCKET) & (F.col("id") != F.col("middle"))).select("middle", "id", "component").distinct()
+            pairs = pairs.unionByName(_across(open_.filter(F.col("c") <= SMALL_BUCKET))).unionByName(by_difference(large, sets, percent))
         fresh = written(linker.likely(pairs.distinct().join(tried, ["a", "b"], "left_anti")), "likely")
         found = written(linker.links(fresh, sets), "confirmed")
         tried = tried.unionByName(fresh)
         if found.take(1):
             links = links.unionByName(found)
-            component = connected_components(links)
+            component = joined(component, found)
     found = written(placed(groups.select("high", "low", "node", "copies"), "node").select("high", "low", "copies", "component"), "components")
-    out = attach(rows.select("doc_id", "n", "high", "low"), found, ["high", "low"], "copies")
+    return attach(rows.drop("signature", "bands"), found, ["high", "low"], "copies")
+
+
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = ROWS, count: int = MINIMA) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked where 100 * |both| >= percent * |either| of their distinct
+    shingles of ``words`` words; a text of fewer words has its whole sequence as its
+    only shingle.  A component's id is its smallest doc_id; that document is kept.
+    Texts without words, and null ones, have no shingles and no links.  Rows with a
+    null id take no part: they come back with a null component, kept.  Rows that
+    repeat an id are one node, where their texts are equal; all come back.  Ties in
+    similarity need no order.  An empty table gives no rows.  Other columns aren't read.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = written(sketches(docs, words, least_linked(percent), bands, band_rows, count), "sketches")
+    out = cluster(rows, lambda ids: full_sets(docs, ids, words), percent, count)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def least_linked(percent: int) -> int:
+    """Sets of fewer shingles are linked with equal ones only."""
+    return -(-percent // (100 - percent))
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
 

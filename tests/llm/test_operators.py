@@ -74,6 +74,36 @@ def test_near_components_are_exact(spark, monkeypatch, k, percent, bucket):
     assert [got[i].n_shingles for i in range(len(texts))] == [len(shingles(t, k)) for t in texts]
 
 
+def test_pairs_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    made = []
+    for name in ("by_difference", "_across"):
+
+        def counted(*args, plain=getattr(minhash, name)):
+            found = plain(*args)
+            made[-1] += found.count()
+            return found
+
+        monkeypatch.setattr(minhash, name, counted)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    texts = [" ".join(base), *(edited(rng, base, rng.randint(1, 16)) for _ in range(599))]
+    for size in (150, 600):
+        made.append(0)
+        df = spark.createDataFrame(list(enumerate(texts[:size])), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in minhash.near_components(df, words=3, percent=85).collect()}
+        assert [got[i] for i in range(size)] == near_brute(texts[:size], 3, 85)
+    assert 0 < made[0] and made[1] <= 6 * made[0]
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark):
+    from maskwright.llm import common
+
+    rows = spark.range(3000).selectExpr("if(id < 2000, 0, id) as k", "id as v")
+    one = spark.range(2900).selectExpr("id as k", "id * 2 as w")
+    got = sorted((r.k, r.v, r.w) for r in common.meet(rows, one, ["k"], "v", hot=300).collect())
+    assert got == sorted((0 if i < 2000 else i, i, 0 if i < 2000 else 2 * i) for i in range(2900))
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
