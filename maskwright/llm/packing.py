@@ -7,6 +7,7 @@ shard but for its last sequences is as dense as one packing of all rows would be
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,7 +23,7 @@ from maskwright.llm.common import Words, mix, signed, slices, small_batches, tab
 
 #: Pieces that a shard is meant to hold.
 SHARD_PIECES = 50_000
-#: Words whose ids a worker remembers; a full memory starts anew.
+#: Words whose ids a worker remembers; a full memory keeps those of several slices.
 REMEMBERED = 250_000
 _TAIL = ".,;:!?#$%&*()[]{}\"'-+=/<>@_~^|\\`"
 _TO_TAIL = r"(?s)^.*[^.,;:!?#$%&*()\[\]{}\"'\-+=/<>@_~^|\\`]"
@@ -33,42 +34,82 @@ class WordIds:
 
     The tokenizer drops white space and its pieces never cross it, so the ids of a
     text are those of its chunks in turn.  A chunk of letters with punctuation
-    after it is looked up as two, as the tokenizer splits there too.
+    after it is looked up as two, as the tokenizer splits there too.  Words met in
+    several slices are remembered, up to REMEMBERED.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core has its own task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.joins = self.last.any() and not any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.place: dict[str, int] = {}
+        self.flat, self.count, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of letters: as one text, where each gives one word-ending id, as its last."""
+        lines = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(self.last[np.minimum(flat, len(self.last) - 1)])
+        if len(ends) != len(words) or (len(flat) and ends[-1] != len(flat) - 1):
+            return self._each(words)  # letters that the tokenizer takes apart
+        return flat, np.diff(ends, prepend=-1)
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        """Keep the words of several slices, half of the memory at most."""
+        order = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+        kept = np.sort(order[self.uses[order] > 1])
+        self.flat, self.count = self._gathered(kept)
+        names = list(self.place)
+        self.place = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.uses = self.uses[kept] // 2
+
+    def _gathered(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places in one array, and the number of each."""
+        first = np.concatenate([[0], np.cumsum(self.count)])
+        length = self.count[place]
+        total = np.concatenate([[0], np.cumsum(length)])
+        return self.flat[np.repeat(first[place] - total[:-1], length) + np.arange(total[-1])], length
 
     def _places(self, names: list[str]) -> np.ndarray:
         if len(self.place) > REMEMBERED:
             self._forget()
-        new = [x for x in names if x not in self.place]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.count = np.concatenate([self.count, np.fromiter(map(len, ids), np.int64, len(ids))])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        return np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        found = list(map(self.place.get, names))
+        new = [x for x, at in zip(names, found, strict=True) if at is None]
+        plain = [x for x in new if self.joins and x.isascii() and x.isalpha()]
+        other = [x for x in new if self.joins and not x.isascii() and x.isalpha()]
+        rest = [x for x in new if not (self.joins and x.isalpha())]
+        for words, ids_of in ((plain, self._joined), (other, self._joined), (rest, self._each)):
+            if words:
+                flat, count = ids_of(words)
+                self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+                self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
+        place = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names)) if new else np.array(found, np.int64)
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.count) - len(self.uses), np.int64)])
+        self.uses[place] += 1  # names are distinct
+        return place
 
     def of(self, chunks: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words ``chunks[index]`` in one array, and the number up to each word."""
         core = pc.utf8_rtrim(chunks, characters=_TAIL)
-        letters = pc.and_(pc.utf8_is_alpha(core), pc.equal(pc.utf8_normalize(core, "NFC"), core))
+        letters = pc.and_(pc.utf8_is_alpha(core), pc.or_(pc.string_is_ascii(core), pc.equal(pc.utf8_normalize(core, "NFC"), core)))
         tail = pc.if_else(letters, pc.replace_substring_regex(chunks, pattern=_TO_TAIL, replacement=""), "")
         parts = pa.concat_arrays([pc.if_else(letters, core, chunks), tail.cast(chunks.type)]).dictionary_encode()
         place = self._places(parts.dictionary.to_pylist())[parts.indices.to_numpy()].reshape(2, -1)
-        first = np.concatenate([[0], np.cumsum(self.count)])
-        both = place[:, index].T.ravel()  # each word's letters, then what follows them
-        length = self.count[both]
+        flat, both = self._gathered(place.T.ravel())  # each chunk's letters, then what follows them
+        count = both.reshape(-1, 2).sum(1)
+        first = np.concatenate([[0], np.cumsum(count)])
+        length = count[index]
         total = np.concatenate([[0], np.cumsum(length)])
-        return self.flat[np.repeat(first[both] - total[:-1], length) + np.arange(total[-1])], total[::2]
+        return flat[np.repeat(first[index] - total[:-1], length) + np.arange(total[-1])], total
 
 
 _WORKER: dict[str, WordIds] = {}
