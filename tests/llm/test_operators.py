@@ -180,6 +180,63 @@ def test_every_repeated_block_keeps_one_document(spark):
     assert all(any(all(x) for x in found.values()) for found in blocks.values() if len(found) > 1)
 
 
+def test_repeats_within_one_document(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    fill = lambda n: [word() for _ in range(n)]
+    part = fill(60)
+    twice, line = [*fill(30), *part, *fill(40), *part, *fill(20)], " ".join(fill(25))
+    docs = [(3, " ".join(twice)), (4, " ".join(fill(200))), (5, "\n".join([line, word(), line])), (6, " ".join(fill(90)))]
+    docs += [docs[3]]  # a repeated row is no repeat
+    found = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    passages = sorted((r.at, r.kept) for r in found if r.unit == "passage" and r.doc_id == 3)
+    assert [kept for _, kept in passages] == [True, False] and 30 <= passages[0][0] < 60 and passages[1][0] == passages[0][0] + 100
+    assert sorted((r.at, r.kept) for r in found if r.unit == "line") == [(0, True), (2, False)] and {r.doc_id for r in found} == {3, 5}
+
+
+def test_recall_of_lines_and_passages(spark):
+    frame = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")[["doc_id", "text"]].head(400)
+    found = substring_dedup.substring_dedup(spark.createDataFrame(frame)).collect()
+    lines = {(d, k): shingles(x, 5) for d, text in zip(frame["doc_id"], frame["text"], strict=True) for k, x in enumerate((text or "").split("\n")) if len(x.split()) >= 20}
+    by_gram, near = {}, set()
+    for at, grams in lines.items():
+        for g in grams:
+            by_gram.setdefault(g, []).append(at)
+    for at, grams in lines.items():
+        for other in {o for g in grams for o in by_gram[g]} - {at}:
+            both = len(grams & lines[other])
+            if 100 * both >= 80 * (len(grams) + len(lines[other]) - both):
+                near.add(at)
+    got = {(r.doc_id, r.at) for r in found if r.unit == "line"}
+    assert near and len(got & near) >= 0.98 * len(near) and got <= near
+    runs, repeated = {}, set()
+    for d, text in zip(frame["doc_id"], frame["text"], strict=True):
+        w = (text or "").lower().split()
+        for i in range(len(w) - 59):
+            runs.setdefault(tuple(w[i : i + 60]), set()).add(d)
+    for docs in runs.values():
+        if len(docs) > 1:
+            repeated |= docs
+    assert repeated and len(repeated & {r.doc_id for r in found if r.unit == "passage"}) >= 0.98 * len(repeated)
+
+
+def test_blocks_are_cut_and_keyed_alike_in_any_batch():
+    rng = np.random.default_rng(7)
+    words = rng.integers(0, 9, 400).astype(np.uint64)
+    offsets = np.array([0, 0, 1, 150, 150, 400])
+    begin = substring_dedup.block_starts(words, offsets)
+    end = np.append(begin[1:], len(words))
+    keys = substring_dedup.block_keys(words, begin, end)
+    alone = []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        at = substring_dedup.cuts(words[a:b])
+        alone += [(a + x, int(k)) for x, k in zip(at[:-1], substring_dedup.block_keys(words[a:b], at[:-1], at[1:]), strict=True)]
+    assert alone == list(zip(begin.tolist(), keys.tolist(), strict=True))
+    by = {}
+    for a, b, k in zip(begin, end, keys, strict=True):
+        assert by.setdefault(int(k), words[a:b].tolist()) == words[a:b].tolist()
+
+
 def test_cuts_depend_on_their_surroundings_alone():
     rng = np.random.default_rng(3)
     passage = rng.integers(0, 2**63, 60).astype(np.uint64)
