@@ -83,6 +83,29 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(maybe_broadcast(ids, ids.count()), id_col, "left_anti").select(docs.columns)
 
 
+#: The column that tells rows apart, and the one that marks rows of a repeated id.
+ROW, REPEATED = "_row", "_repeated"
+
+
+def with_row_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the long ``_row``, which tells different rows apart, and boolean ``_repeated``.
+
+    ``_row`` is the id; where an id has different texts, one of them (that of the least
+    hash) has it and the others a hash of id and text, so that only rows equal in both
+    share it.  A null id stays null.  Ids are counted in a narrow shuffle; only texts
+    of repeated ids are read for it.
+    """
+    same = written(docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_id")), "repeated-ids")
+    some = same.count()
+    own = F.col(id_col).cast("long")
+    if not some:
+        return docs.withColumns({ROW: own, REPEATED: F.lit(False)})
+    digest = F.xxhash64(id_col, text_col)
+    least = docs.join(maybe_broadcast(same, some), F.col(id_col) == F.col("_id"), "left_semi").groupBy(F.col(id_col).alias("_id")).agg(F.min(digest).alias("_least"))
+    marked = docs.join(maybe_broadcast(written(least, "repeated-ids"), some), F.col(id_col) == F.col("_id"), "left").withColumn(REPEATED, F.col("_id").isNotNull())
+    return marked.withColumn(ROW, F.when(F.col("_least") != digest, digest).otherwise(own)).drop("_id", "_least")
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = HOT_ROWS) -> DataFrame:
     """Left join of ``rows`` with one row of ``groups`` per key, safe against hot keys.
 

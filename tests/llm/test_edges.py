@@ -86,6 +86,26 @@ def test_stages_on_odd_rows(spark, tmp_path, k):
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_stages_decide_row_by_row(spark, tmp_path):
+    near = " ".join(f"w{i}" for i in range(60))
+    item = "seven plain words stand in this item"
+    rows = [(0, "b b b"), (1, "only one"), (1, "b b b"), (1, "only one"), (2, near), (3, near + " more"), (3, "unlike the others"), (4, f"so {item} then"), (4, "clean"), (None, "b b b"), (None, near + " too"), (None, "b b b")]
+    docs = documents(spark, [(*r, "en") for r in rows])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in df.collect())
+    every = sorted((-1 if d is None else d, t) for d, t in rows)
+    want = list(every)
+    want.remove((1, "b b b"))
+    want.remove((1, "only one"))
+    assert left(stages["exact_dedup"](spark, docs, "")) == want
+    got = left(stages["near_dedup"](spark, docs, ""))
+    # equal texts are one set; which of the two rows of a pair stays depends on their ids
+    assert len([r for r in got if r[1] == "b b b" and r[0] >= 0]) == 1 and len([r for r in got if r[0] in (2, 3) and r[1].startswith(near)]) == 1
+    assert [r for r in got if r[0] == -1 or r[1] in ("only one", "unlike the others", "clean")] == [r for r in every if r[0] == -1 or r[1] in ("only one", "unlike the others", "clean")]
+    assert left(stages["decontamination"](spark, docs, str(tmp_path))) == [r for r in every if r != (4, f"so {item} then")]
+
+
 def test_pipeline_runs_its_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert out.columns.tolist() == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
