@@ -34,6 +34,7 @@ def digit_count(text: Column) -> Column:
 def is_plain_amount(text: Column) -> Column:
     """A sum of money, a percentage, or a bare number of under seven digits."""
     t = strip(text)
+    # fixed values: the two patterns of an amount
     whole = t.rlike(r"(?U)^[$€£¥]?\s?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{1,2})?\s?%?\z")
     marked = t.rlike(r"(?U)[$€£¥%]|\.\d{1,2}\z")
     return whole & (marked | (digit_count(t) < SHORT_DIGITS))
@@ -56,6 +57,7 @@ def is_valid_id(text: Column) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Text of an HTML page: entities stay as they are."""
+    # fixed values: these patterns, in this order
     x = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " ")
     x = F.regexp_replace(x, r"(?is)<style[^>]*>.*?</style>", " ")
     x = F.regexp_replace(x, r"(?i)<br\s*/?>", "\n")
@@ -66,6 +68,7 @@ def html_to_text(html: Column) -> Column:
 
 
 def rtf_to_text(rtf: Column) -> Column:
+    # fixed value
     return F.regexp_replace(rtf, r"\\[a-zA-Z]+-?\d* ?|\\'[0-9a-fA-F]{2}|[{}]", "")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.tags import NUMERIC_TAGS, TAGS, allowed_tags
@@ -46,29 +46,36 @@ def _hits(rows: DataFrame, source: str) -> DataFrame:
     return rows.select("doc_id", "value", "tag", F.lit(SOURCES.index(source)).alias("source"), F.col("seq").cast("long").alias("seq"))
 
 
-def pattern_matches(docs: DataFrame, tag: str) -> DataFrame:
-    """Every match of one tag's shape, repeats included: doc_id, value, tag, place."""
+#: What a text must hold for a shape to be looked for at all.
+NEEDS = {"EMAIL": "@", "PHONE": r"\d{3}[-. ]\d{4}", "ID": r"-\d{2}-", "IP": r"\d\.\d", "FINANCIAL": r"\d{4}", "ADDRESS": rf"\d[ \t]"}
+
+
+def _matches(tag: str, order: int = 0) -> Column:
+    """An array of value, tag, place and seq of one tag's shape in ``text``."""
     pattern = F.lit("(?U)" + BEFORE.get(tag, "") + f"(?:{SHAPES[tag]})")
-    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", pattern, 0)).alias("place", "raw"))
-    value = F.regexp_replace(strip(F.col("raw")), r"[.,]+\z", "")
-    found = found.select("doc_id", value.alias("value"), F.lit(tag).alias("tag"), "place").filter("value <> ''")
+    raw = F.when(F.col("text").rlike("(?U)" + NEEDS[tag]), F.regexp_extract_all("text", pattern, 0))
+    value = lambda x: F.regexp_replace(strip(x), r"[.,]+\z", "")
+    found = F.transform(raw, lambda x, i: F.struct(value(x).alias("value"), F.lit(tag).alias("tag"), i.alias("place"), (i.cast("long") + F.lit(order << 40)).alias("seq")))
+    keep = lambda x: x["value"] != ""
     if tag == "FINANCIAL":
-        found = found.filter(luhn(F.col("value")))
+        keep = lambda x: luhn(x["value"])
     if tag == "IP":
-        found = found.filter(~is_version(F.col("value")))
-    return found
+        keep = lambda x: (x["value"] != "") & ~is_version(x["value"])
+    return F.filter(found, keep)
+
+
+def pattern_matches(docs: DataFrame, tag: str) -> DataFrame:
+    """Every match of one tag's shape, repeats included: doc_id, value, tag, place."""
+    return docs.select("doc_id", F.inline(_matches(tag))).drop("seq")
 
 
 def detect_patterns(docs: DataFrame, tags: Iterable[str] = TAGS) -> DataFrame:
-    """Matches of all allowed shapes; only the selected ones are evaluated."""
+    """Matches of all allowed shapes, from one pass over the texts; only the selected ones are evaluated."""
     order = [t for t in SHAPES if t in set(allowed_tags(tags))]
-    out = None
-    for i, tag in enumerate(order):
-        one = pattern_matches(docs, tag).withColumn("seq", F.col("place") + F.lit(i << 40))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = docs.select("doc_id", F.lit("").alias("value"), F.lit("").alias("tag"), F.lit(0).alias("seq")).limit(0)
-    return _hits(out, "patterns")
+    if not order:
+        return _hits(docs.select("doc_id", F.lit("").alias("value"), F.lit("").alias("tag"), F.lit(0).alias("seq")).limit(0), "patterns")
+    found = [F.coalesce(_matches(tag, i), F.array()) for i, tag in enumerate(order)]
+    return _hits(docs.select("doc_id", F.inline(F.concat(*found))), "patterns")
 
 
 def parse_terms(lines: DataFrame) -> DataFrame:
@@ -146,7 +153,7 @@ def skipped_amounts(items: DataFrame) -> DataFrame:
 
 def residue(docs: DataFrame) -> DataFrame:
     """The labels of shapes left in finished texts: a warning, not a failure.  doc_id, labels."""
-    text = without_placeholders(F.col("text"))
+    docs, text = docs.select("doc_id", without_placeholders(F.col("text")).alias("_bare")), F.col("_bare")
     flags = []
     for label, shape in RESIDUE.items():
         found = F.regexp_extract_all(text, F.lit(f"(?U)(?:{shape})"), 0)

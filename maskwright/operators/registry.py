@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_valid_id, placeholder
+from maskwright.sources.scratch import written
 
 #: Candidates tried for an id; one in 140 is malformed, so this many never are.
 ATTEMPTS = 12
@@ -38,15 +39,17 @@ def with_ids(registry: DataFrame, secret: str, reserved: DataFrame | None = None
     if reserved is not None:
         each = rows.select("doc_id", "original", F.posexplode("tries").alias("k", "hex_id")).join(reserved.select("hex_id").distinct(), "hex_id", "left_anti")
         free = each.groupBy("doc_id", "original").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "hex_id"))), lambda x: x["hex_id"]).alias("tries"))
-        rows = rows.drop("tries").join(free, ["doc_id", "original"])
+        rows = rows.drop("tries").join(free, ["doc_id", "original"], "left")
     rows = rows.withColumn("turn", F.lit(0))
     for _ in range(ATTEMPTS):
-        rows = rows.withColumn("hex_id", F.element_at("tries", F.col("turn") + 1))
-        clash = rows.groupBy("hex_id").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "original")).alias("owner")).filter("c > 1")
+        rows = written(rows.withColumn("hex_id", F.try_element_at("tries", F.col("turn") + 1)), "ids")
+        clash = rows.groupBy("hex_id").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "original")).alias("owner")).filter("c > 1 and hex_id is not null")
         if not clash.take(1):
             break
         late = rows.join(clash, "hex_id").filter(F.struct("doc_id", "original") != F.col("owner")).select("doc_id", "original", F.lit(1).alias("late"))
         rows = rows.join(late, ["doc_id", "original"], "left").withColumn("turn", F.col("turn") + F.coalesce("late", F.lit(0))).drop("late")
+    if short := rows.filter("hex_id is null").count():
+        raise ValueError(f"{short} values have no free id among {ATTEMPTS} attempts")
     return rows.drop("tries", "turn").withColumn("placeholder", placeholder(F.col("tag"), F.col("hex_id")))
 
 

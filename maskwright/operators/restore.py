@@ -170,9 +170,14 @@ def restore(docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def glued(docs: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
     """Known twelve-digit ids inside longer runs that no token covers: doc_id, start, token."""
-    at = F.expr(r"filter(sequence(1, length(text)), i -> substring(text, i, 12) rlike '^[0-9A-Fa-f]{12}$')")
-    dense = docs.filter(F.col("text").rlike("[0-9A-Fa-f]{12}")).select("doc_id", "text", F.explode(at).alias("i"))
-    rows = dense.select("doc_id", (F.col("i") - 1).alias("start"), F.substring(F.col("text"), F.col("i"), F.lit(12)).alias("token"))
+    run = F.lit("[0-9A-Fa-f]{12,}")
+    runs = docs.filter(F.col("text").rlike("[0-9A-Fa-f]{12}")).select("doc_id", F.regexp_extract_all("text", run, 0).alias("runs"), F.split("text", "[0-9A-Fa-f]{12,}", -1).alias("gaps"))
+    # each run begins behind the gaps and runs before it
+    step = lambda at, i: F.struct((at["next"] + F.length(F.element_at("gaps", i + 1))).alias("at"), (at["next"] + F.length(F.element_at("gaps", i + 1)) + F.length(F.element_at("runs", i + 1))).alias("next"))
+    places = F.aggregate(F.sequence(F.lit(0), F.size("runs") - 1), F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("all")), lambda acc, i: F.struct(step(acc, i)["next"].alias("next"), F.concat(acc["all"], F.array(step(acc, i)["at"])).alias("all")), lambda acc: acc["all"])
+    dense = runs.select("doc_id", F.inline(F.arrays_zip(places.alias("at"), F.col("runs").alias("run"))))
+    dense = dense.select("doc_id", "at", "run", F.explode(F.sequence(F.lit(0), F.length("run") - 12)).alias("i"))
+    rows = dense.select("doc_id", (F.col("at") + F.col("i")).alias("start"), F.expr("substring(run, i + 1, 12)").alias("token"))
     rows = rows.join(index.filter("kind = 'hex'").select("hex"), F.upper("token") == F.col("hex"), "left_semi")
     over = found.filter("original is not null or report").select(F.col("doc_id").alias("d"), F.col("start").alias("a"), F.col("end").alias("b"))
     return rows.join(over, (F.col("doc_id") == F.col("d")) & (F.col("start") >= F.col("a")) & (F.col("start") < F.col("b")), "left_anti")

@@ -27,7 +27,7 @@ def surviving(outputs: DataFrame, registry: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[], []]
             yield pa.record_batch([pa.array(columns[0], batch.schema.field("doc_id").type), pa.array(columns[1], pa.string())], names=["doc_id", "tag"])
 
-    found = rows.select("doc_id", "text", "own").mapInArrow(run, f"doc_id {kind}, tag string")
+    found = rows.filter("own is not null").select("doc_id", "text", "own").mapInArrow(run, f"doc_id {kind}, tag string")
     return found.groupBy("doc_id", "tag").agg(F.count("*").alias("matches"))
 
 

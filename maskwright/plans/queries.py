@@ -37,15 +37,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- SQL building blocks -------------------------------------------------------
 
+def _sql_luhn(value: str) -> str:
+    digits = f"regexp_replace({value}, '[^0-9]', '', 'g')"
+    return f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN (len({digits}) - i) % 2 = 0 THEN {digits}[i]::INT WHEN {digits}[i]::INT > 4 THEN {digits}[i]::INT * 2 - 9 ELSE {digits}[i]::INT * 2 END)) % 10 = 0"
+
+
 def _sql_hits(tag: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     shape = detect.SHAPES[tag].replace("'", "''")
     found = f"regexp_extract_all({text}, '(?:^|[^\\w-])({shape})', 1)" if tag in detect.BEFORE else f"regexp_extract_all({text}, '{shape}')"
     value = "regexp_replace(trim(raw, ' ' || chr(9) || chr(10)), '[.,]+$', '')"
     keep = "value <> ''"
     if tag == "FINANCIAL":
-        digits = "regexp_replace(value, '[^0-9]', '', 'g')"
-        total = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN (len({digits}) - i) % 2 = 0 THEN {digits}[i]::INT WHEN {digits}[i]::INT > 4 THEN {digits}[i]::INT * 2 - 9 ELSE {digits}[i]::INT * 2 END))"
-        keep += f" AND {total} % 10 = 0"
+        keep += f" AND {_sql_luhn('value')}"
     if tag == "IP":
         keep += " AND NOT regexp_full_match(value, '\\d(\\.\\d){3}')"
     k = list(detect.SHAPES).index(tag)
@@ -83,12 +86,27 @@ for _source, _key, _text in (("pages", "page_id", "html"), ("conversations", "co
     )
 
 
+# the documents hold no ids and addresses of these shapes, so these two read texts made of other tables
+_SSN = ("concat('id ', lpad(cast(o_orderkey % 1000 as string), 3, '0'), '-', lpad(cast(o_custkey % 100 as string), 2, '0'), '-', lpad(cast(o_orderkey % 10000 as string), 4, '0'), if(o_orderkey % 3 = 0, '7', '.'))")
+_add(
+    "detect_id_orders",
+    lambda s, d: detect.pattern_matches(_table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"), F.expr(_SSN).alias("text")), "ID").select("doc_id", "value"),
+    "SELECT doc_id, value FROM (" + _sql_hits("ID", "(SELECT o_orderkey::BIGINT AS k, 'id ' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((o_custkey % 100)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || CASE WHEN o_orderkey % 3 = 0 THEN '7' ELSE '.' END AS t FROM orders)", "k", "t") + ")",
+)
+_STREETS = ["Oak Street", "Old Mill Rd.", "Elm", "High Street, Suite 5", "Lake Ave, Springfield, IL 62704"]
+_add(
+    "detect_address_customers",
+    lambda s, d: detect.pattern_matches(_table(s, d, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.concat(F.lit("lives at "), F.col("c_custkey").cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, _STREETS)), (F.col("c_custkey") % len(_STREETS) + 1).cast("int")), F.lit(" now")).alias("text")), "ADDRESS").select("doc_id", "value"),
+    "SELECT doc_id, value FROM (" + _sql_hits("ADDRESS", f"(SELECT c_custkey::BIGINT AS k, 'lives at ' || c_custkey || ' ' || {_STREETS}[c_custkey % {len(_STREETS)} + 1] || ' now' AS t FROM customer)", "k", "t") + ")",
+)
+
+
 def _registry(s: SparkSession, d: str) -> DataFrame:
     return registry.first_wins(detect.detect_patterns(_docs(s, d)))
 
 
 def _with_ids(s: SparkSession, d: str) -> DataFrame:
-    return registry.with_ids(_registry(s, d), SECRET)
+    return registry.with_ids(_registry(s, d), SECRET)  # written once
 
 
 _add("registry_first_wins", lambda s, d: _registry(s, d).select("doc_id", "original", "tag"), f"WITH {_REGISTRY} SELECT doc_id, original, tag FROM r")
@@ -128,10 +146,11 @@ _add("preview", lambda s, d: preview(_docs(s, d), _with_ids(s, d), 10_000).selec
 _label = {
     "EMAIL": f"regexp_matches(t, '{detect.RESIDUE['EMAIL']}')", "PHONE": f"regexp_matches(t, '{detect.RESIDUE['PHONE']}')", "SSN": f"regexp_matches(t, '{detect.RESIDUE['SSN']}')",
     "IP": f"len(list_filter(regexp_extract_all(t, '{detect.RESIDUE['IP']}'), lambda x: NOT regexp_full_match(x, '\\d(\\.\\d){{3}}'))) > 0",
+    "CREDIT_CARD": f"len(list_filter(regexp_extract_all(t, '{detect.RESIDUE['CREDIT_CARD']}'), lambda x: {_sql_luhn('x')})) > 0",
 }
 _add(
     "residue_labels",
-    lambda s, d: detect.residue(_docs(s, d)).select("doc_id", F.explode("labels").alias("label")).filter("label <> 'CREDIT_CARD'"),
+    lambda s, d: detect.residue(_docs(s, d)).select("doc_id", F.explode("labels").alias("label")),
     "SELECT doc_id, label FROM (SELECT doc_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _label.items()) + "], lambda x: x IS NOT NULL)) AS label FROM (SELECT doc_id, text AS t FROM documents))",
 )
 
@@ -218,14 +237,15 @@ FROM (SELECT c_nationkey::BIGINT AS doc_id, c_custkey, c_custkey || ',' || c_nam
 # --- restoring -------------------------------------------------------------------
 
 
-def _keys(s: SparkSession, d: str) -> DataFrame:
+def _keys(s: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
     """A key per document, of its registry."""
-    own = _with_ids(s, d).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("original", "placeholder"))).alias("replacement_map"))
+    own = (_with_ids(s, d) if rows is None else rows).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("original", "placeholder"))).alias("replacement_map"))
     return own.select(F.col("doc_id").alias("key_no"), F.concat(F.lit("s"), "doc_id").alias("session_id"), "replacement_map")
 
 
 def _restored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return restore.restore(scrub(_docs(s, d), _with_ids(s, d)).drop("replaced"), restore.build_index(_keys(s, d)))
+    rows = _with_ids(s, d)
+    return restore.restore(scrub(_docs(s, d), rows).drop("replaced"), restore.build_index(_keys(s, d, rows)))
 
 
 _add("round_trip", lambda s, d: _restored(s, d)[0].select("doc_id", F.md5("text").alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")

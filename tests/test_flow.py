@@ -151,3 +151,31 @@ def test_cells(spark):
     assert [(r.session_id, r.hits) for r in C.best_layout(cells, layouts).collect()] == [("s2", 2)]
     tie = layouts.filter("row = 1").withColumn("original", F.concat("original", "session_id"))
     assert C.best_layout(cells, tie).count() == 0
+
+
+def test_a_value_without_a_free_id_fails(spark):
+    rows = registry.first_wins(detect.detect_patterns(spark.createDataFrame([(1, "a@b.org c@d.org")], "doc_id long, text string")))
+    every = []
+    for _ in range(registry.ATTEMPTS):
+        taken = spark.createDataFrame([(x,) for x in every], "hex_id string")
+        try:
+            every += [r.hex_id for r in registry.with_ids(rows, "k", taken).collect()]
+        except ValueError as e:
+            assert "no free id" in str(e)
+            break
+    else:
+        with pytest.raises(ValueError, match="no free id"):
+            registry.with_ids(rows, "k", spark.createDataFrame([(x,) for x in every], "hex_id string"))
+
+
+def test_patterns_are_found_in_one_scan(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    plan = detect.detect_patterns(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_glued_ids_by_place(spark):
+    docs = spark.createDataFrame([(1, "xx AB12CD34EF56AA yy 0AB12CD34EF56 AB12CD34EF5 zz"), (2, None), (3, "AB12CD34EF56")], "doc_id long, text string")
+    found = spark.createDataFrame([(3, 0, 12, "x", True)], "doc_id long, start int, end int, original string, report boolean")
+    index = spark.createDataFrame([("hex", "AB12CD34EF56")], "kind string, hex string")
+    assert sorted((r.doc_id, r.start, r.token) for r in restore.glued(docs, found, index).collect()) == [(1, 3, "AB12CD34EF56"), (1, 22, "AB12CD34EF56")]
