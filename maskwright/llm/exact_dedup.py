@@ -24,6 +24,8 @@ SLOTS = 4
 KICKS = 200
 #: Digests that a shard is meant to hold.
 SHARD_KEYS = 50_000
+#: Distinct digests that a task holds while it combines equal ones.
+HELD = 100_000
 
 
 class CuckooShard:
@@ -125,25 +127,32 @@ def _better(points: int, keep: int | None, live: list) -> bool:
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal digests of a batch as one row, so that a hot digest sends few rows."""
+    """Equal digests of a task as one row, HELD digests at a time, so that a hot digest sends a row a task."""
+    found: dict[bytes, list] = {}
+
+    def rows() -> pa.RecordBatch:
+        columns = list(zip(*found.values(), strict=True)) or [[], [], []]
+        return pa.record_batch([pa.array(list(found), pa.binary()), *(pa.array(c, pa.int64()) for c in columns)], names=["digest", "code_points", "keep_id", "n"])
+
     for batch in batches:
-        found: dict[bytes, list] = {}
         for key, points, keep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             live = found.setdefault(key, [points, keep, 0])
             live[2] += 1
             if _better(points, keep, live):
                 live[0], live[1] = points, keep
-        columns = list(zip(*found.values(), strict=True)) or [[], [], []]
-        yield pa.record_batch([pa.array(list(found), pa.binary()), *(pa.array(c, pa.int64()) for c in columns)], names=["digest", "code_points", "keep_id", "n"])
+        if len(found) >= HELD:
+            yield rows()
+            found.clear()
+    yield rows()
 
 
 def changes(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows of ``digests`` combined within each task: shard, digest, code_points, keep_id, n."""
+    """Rows of ``digests`` combined within each task: shard, digest, code_points, keep_id, n.
+
+    Copies that different tasks have meet in the index alone.
+    """
     part = rows.select("digest", "code_points", "doc_id").mapInArrow(_combined, "digest binary, code_points long, keep_id long, n long")
-    # a digest that is in most batches meets here again before the index
-    part = part.groupBy("digest").agg(F.sum("n").alias("n"), F.max(F.struct("code_points", (-F.col("keep_id")).alias("neg"))).alias("best"))
-    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
-    return part.select(shard.alias("shard"), "digest", F.col("best.code_points"), (-F.col("best.neg")).alias("keep_id"), "n")
+    return part.select(F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard"), "digest", "code_points", "keep_id", "n")
 
 
 KEYS = "shard int, digest binary, code_points long, keep_id long, n long, resizes int"
@@ -186,18 +195,27 @@ def build_index(rows: DataFrame, shards: int) -> DataFrame:
     return changes(rows, shards).groupBy("shard").applyInArrow(run, KEYS)
 
 
-def update_index(index: DataFrame, inserted: DataFrame | None, deleted: DataFrame | None, shards: int) -> DataFrame:
+def update_index(index: DataFrame, inserted: DataFrame | None, deleted: DataFrame | None, shards: int, live: DataFrame | None = None) -> DataFrame:
     """The index after insertion and deletion of rows of ``digests``.
 
     A digest leaves the index when its last row is deleted; deleting one that isn't
-    live changes nothing.  The best row of a digest that stays is kept as it was.
+    live changes nothing.  Where the kept row of a digest that stays was deleted, the
+    best of ``live`` (the rows of ``digests`` that are left) takes its place; without
+    ``live`` the entry stays as it was.
     """
     parts = ([changes(inserted, shards)] if inserted is not None else []) + ([changes(deleted, shards).withColumn("n", -F.col("n"))] if deleted is not None else [])
     delta = parts[0]
     for p in parts[1:]:
         delta = delta.unionByName(p)
 
-    return index.groupBy("shard").cogroup(delta.groupBy("shard")).applyInArrow(_apply, KEYS)
+    after = index.groupBy("shard").cogroup(delta.groupBy("shard")).applyInArrow(_apply, KEYS)
+    if live is None or deleted is None:
+        return after
+    after = written(after, "cuckoo-index")
+    lost = after.join(deleted.select("digest", F.col("doc_id").alias("keep_id")).distinct(), ["digest", "keep_id"], "left_semi").select("digest")
+    best = live.join(lost, "digest", "left_semi").groupBy("digest").agg(F.max(F.struct("code_points", (-F.col("doc_id")).alias("neg"))).alias("best"))
+    new = after.join(best, "digest", "left")
+    return new.withColumn("code_points", F.coalesce("best.code_points", "code_points")).withColumn("keep_id", F.when(F.col("best").isNull(), F.col("keep_id")).otherwise(-F.col("best.neg"))).select(after.columns)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
