@@ -97,6 +97,10 @@ def _candidate(data: memoryview, whole: bytes, at: int) -> tuple | None:
     return after + 4, number[b"warc-record-id"], head.get(b"warc-target-uri", b"").decode("utf-8", "replace"), kind, number[b"warc-refers-to"], length, digest, digest == said
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A row for each place in the files where a record may begin, with its successor's place."""
 
@@ -114,8 +118,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * len(names)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, CANDIDATES)
+    return _files(spark, path).select("path", "content").mapInArrow(run, CANDIDATES)
 
 
 def reached(at: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -152,12 +155,24 @@ def reachable(found: DataFrame) -> DataFrame:
     return found.groupBy("file").applyInArrow(run, CANDIDATES)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def broken(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
+    """The files whose chain of records ends before the file does: file, length, ends."""
+    files = _files(spark, path).select(F.col("path").alias("file"), "length")
+    ends = found.groupBy("file").agg(F.max("next").alias("ends"))
+    return files.join(ends, "file", "left").select("file", "length", F.coalesce("ends", F.lit(0)).alias("ends")).filter("ends <> length")
+
+
+def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """The records of the archives: file, at, page_id, url, record_type, refers_to, payload_bytes, payload_digest, sound.
 
-    ``sound`` tells whether the digest of the payload read is the header's.
+    ``sound`` tells whether the digest of the payload read is the header's.  A chain that
+    doesn't reach its file's end, as after a wrong length, is an error; unless ``strict``,
+    the records up to there come back and ``broken`` names the files.
     """
-    return reachable(candidates(spark, path)).drop("next")
+    found = written(reachable(candidates(spark, path)), "warc-records")
+    if strict and (files := broken(spark, path, found).take(3)):
+        raise ValueError("records can't be followed to the end of: " + ", ".join(f"{r.file} ({r.ends} of {r.length} bytes)" for r in files))
+    return found.drop("next")
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
@@ -166,10 +181,14 @@ def round_trip(pages: DataFrame, path: str) -> DataFrame:
     Null payloads count as empty; null urls are written as empty; a null id gives a
     record without an id, which reads as null.  Of pages with one payload of at
     least 100 bytes, the rows with the smallest id are responses, also where that
-    id repeats.  An empty table gives no rows.  Other columns aren't read.
+    id repeats.  An empty table gives no rows.  Other columns aren't read.  A payload
+    that doesn't have its header's digest is an error.
     """
     write_archives(records(pages), path)
-    return read_archives(pages.sparkSession, path)
+    found = read_archives(pages.sparkSession, path)
+    if wrong := found.filter("not sound").count():
+        raise ValueError(f"{wrong} payloads differ from their digests")
+    return found
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
