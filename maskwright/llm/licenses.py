@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import table
-from maskwright.llm.known_licenses import NOTICES
+from maskwright.llm.known_licenses import DIGESTS, NOTICES
 
 #: Equivalent spellings, replaced in this order after case and punctuation are gone.
 SPELLINGS = (
@@ -21,7 +21,8 @@ SPELLINGS = (
     ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("whilst", "while"), ("merchantibility", "merchantability"),
 )
 _NOT_WORDS, _BREAKS = r"[^\p{L}\p{N}\n]+", r" ?\n[ \n]*"
-_COPYRIGHT = r"(?m)^(?:copyright|c [0-9]{4}|all rights reserved)(?: .*)?$"
+#: Notices of ownership: the word alone, as in "copyright holders be liable", doesn't make one.
+_COPYRIGHT = r"(?m)^(?:copyright (?:copyright|c|by|yyyy|year|[0-9]{4})|c [0-9]{4}|all rights reserved)(?: .*)?$"
 
 
 def normal_lines(text: Column) -> Column:
@@ -39,9 +40,17 @@ def whole(lines: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, notices: Mapping[str, Sequence[str]] = NOTICES) -> DataFrame:
-    """license and digest of each known text; their number is that of the given texts."""
+    """license and digest of each known text; their number is that of the given texts and of DIGESTS."""
     rows = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, texts in notices.items() for text in texts))
-    return spark.range(1).select(F.inline(rows)).select("license", F.sha2(whole(normal_lines(F.col("text"))), 256).alias("digest")).distinct()
+    one = spark.range(1)
+    given = one.select(F.inline(rows)).select("license", F.sha2(whole(normal_lines(F.col("text"))), 256).alias("digest"))
+    entire = one.select(F.explode(F.create_map(*(F.lit(x) for pair in DIGESTS.items() for x in pair))).alias("license", "digest"))
+    return given.unionByName(entire).distinct()
+
+
+def digests_of(texts: DataFrame) -> DataFrame:
+    """license and digest of further texts (license, text), as DIGESTS has them."""
+    return texts.select("license", F.sha2(whole(normal_lines(F.col("text"))), 256).alias("digest"))
 
 
 def scan(docs: DataFrame, notices: Mapping[str, Sequence[str]] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,7 +58,9 @@ def scan(docs: DataFrame, notices: Mapping[str, Sequence[str]] = NOTICES, id_col
 
     A document whose whole text is one known notice has a row of either unit.  Null
     and empty texts, and those of copyright lines alone, match nothing.  Rows that
-    repeat an id add up; a null id is a group of its own.  Other columns aren't read.
+    repeat an id add up; a null id is a group of its own.  Two names of one text give a
+    row each.  An empty table gives no rows.  Other columns aren't read.  A known text
+    inside a longer one is found where it is one line.
     """
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal_lines(F.col(text_col).cast("string")).alias("lines"))
     each = F.transform(F.filter(F.split("lines", "\n"), lambda x: x != ""), lambda x: F.struct(F.lit("line").alias("unit"), x.alias("body")))
@@ -72,8 +83,9 @@ def oracle(notices: Mapping[str, Sequence[str]] = NOTICES) -> str:
 
     one = lambda x: f"trim(regexp_replace({x}, '\\n+', ' ', 'g'))"
     quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, texts in notices.items() for t in texts)
+    entire = ", ".join(f"('{n}', '{d}')" for n, d in DIGESTS.items())
     return f"""
-WITH k AS (SELECT DISTINCT license, sha256({one(normal("text"))}) AS digest FROM (VALUES {quoted}) v(license, text)),
+WITH k AS (SELECT DISTINCT license, sha256({one(normal("text"))}) AS digest FROM (VALUES {quoted}) v(license, text) UNION SELECT * FROM (VALUES {entire}) w(license, digest)),
 n AS (SELECT doc_id, {normal("text")} AS lines FROM documents),
 u AS (SELECT doc_id, 'text' AS unit, {one("lines")} AS body FROM n UNION ALL SELECT doc_id, 'line', unnest(string_split(lines, chr(10))) FROM n)
 SELECT doc_id, unit, license, count(*) AS units FROM (SELECT *, sha256(body) AS digest FROM u WHERE body <> '') JOIN k USING (digest) GROUP BY ALL"""
