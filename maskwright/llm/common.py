@@ -8,8 +8,6 @@ later work is done on arrays.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -20,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.sources.scratch import scratch_path, shared_dir, written  # noqa: F401
+
 #: A batch of texts is worked on in slices of about so many bytes.
 SLICE_BYTES = 3 << 20
 #: A side of a join may be broadcast up to this number of rows; beyond it the join shuffles.
@@ -36,36 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the setting is missing, as in local tests, a folder of this machine is
-    made and entered in the session so that every later call uses the same one; on
-    a cluster, whose executors wouldn't see it, that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("maskwright.scratch.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="maskwright-")
-        spark.conf.set("maskwright.scratch.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/maskwright/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
-
-    Cuts lineage; the files survive the loss of any executor.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, as a text may have a hundred thousand characters."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":

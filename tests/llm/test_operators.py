@@ -1,6 +1,7 @@
 """Each operator against brute force or a round trip on small data."""
 
 import hashlib
+import pathlib
 import random
 import zlib
 
@@ -298,6 +299,18 @@ def test_warc_rejects_records_inside_payloads(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
 
 
+def test_a_chain_that_breaks_is_an_error(spark, tmp_path):
+    record = lambda i, size: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(b'abc').hexdigest()}\r\nContent-Length: {size}\r\n\r\nabc\r\n\r\n"
+    for name, sizes in (("good", [3] * 5), ("bad", [3, 3, 4, 3, 3])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0").write_text("".join(record(i, n) for i, n in enumerate(sizes)), newline="")
+    assert {r.page_id for r in warc.read_archives(spark, str(tmp_path / "good")).collect()} == set(range(5))
+    with pytest.raises(ValueError, match="followed to the end"):
+        warc.read_archives(spark, str(tmp_path / "bad"))
+    found = warc.reachable(warc.candidates(spark, str(tmp_path / "bad")))
+    assert {r.page_id for r in found.collect()} == {0, 1} and warc.broken(spark, str(tmp_path / "bad"), found).count() == 1
+
+
 def test_pointer_jumping():
     at, after = np.array([0, 10, 15, 30, 44]), np.array([10, 30, 44, 60, 7])
     assert warc.reached(at, after).tolist() == [True, True, False, True, False]
@@ -401,6 +414,22 @@ def test_license_texts_and_lines(spark):
     assert got == {(0, "text", "MIT", 1), (1, "line", "MIT", 1)}
 
 
+def test_entire_licences_and_rewrapped_ones(spark):
+    bsd = next(t for t in licenses.NOTICES["BSD-3-Clause"] if len(t) > 200)
+    words = bsd.split()
+    at = next(i for i, w in enumerate(words) if w == "COPYRIGHT" and words[i + 1] == "HOLDERS")
+    rewrapped = " ".join(words[:at]) + "\n" + " ".join(words[at:])
+    texts = [rewrapped, "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + rewrapped, "copyright holders be liable"]
+    names = [*["BSD-3-Clause"] * 2, None]
+    folder = pathlib.Path("/usr/share/common-licenses")
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0-only", "GPL-3"), ("MPL-2.0", "MPL-2.0")):
+        if (folder / file).exists():
+            texts.append((folder / file).read_text().upper().replace("\n", "\r\n  "))
+            names.append(name)
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.unit == "text"}
+    assert got == {i: name for i, name in enumerate(names) if name}
+
+
 def test_cuckoo_shard_against_a_dict():
     rng = random.Random(8)
     shard, live = exact_dedup.CuckooShard(4), {}
@@ -427,6 +456,19 @@ def test_index_lives_with_its_rows(spark):
     assert sorted(r.n for r in gone.collect()) == [1]
 
 
+def test_copies_meet_in_the_index_and_keepers_are_replaced(spark, monkeypatch):
+    rows = exact_dedup.digests(spark.createDataFrame([(i, "a b" if i % 2 else f"t{i}") for i in range(200)], "doc_id long, text string").repartition(8))
+    found = exact_dedup.changes(rows, 1).collect()
+    assert sum(r.n for r in found) == 200 and sum(r.n for r in found if r.n > 1) > 50 and len({r.digest for r in found}) == 101 < len(found)
+    assert {(r.n, r.keep_id) for r in exact_dedup.build_index(rows, 1).collect() if r.n > 1} == {(100, 1)}
+    gone, left = rows.filter("doc_id < 20"), rows.filter("doc_id >= 20")
+    index = exact_dedup.build_index(rows, 3)
+    after = exact_dedup.update_index(index, None, gone, 3, live=left)
+    want = exact_dedup.build_index(left, 3)
+    key = lambda df: sorted((bytes(r.digest), r.n, r.keep_id, r.code_points) for r in df.collect())
+    assert key(after) == key(want)
+
+
 def test_hot_groups_join_by_broadcast(spark, monkeypatch):
     from maskwright.llm import common
 
