@@ -6,12 +6,13 @@ longs, and 32 band keys of four whole minima.  Nodes that share a band key are c
 the packed signatures, by bit counts corrected for chance agreement, discard the
 clearly different ones; the rest are confirmed on the full sets.
 
-Each node of a bucket is first compared with one of them.  Where a bucket still holds
-several components, its nodes are compared with another one and with the best linked
-one of a different component; then the nodes of different ones are: all in a small
-bucket, and in a larger one those whose *differences* to the bucket's middle share a
-rare gram (see ``by_difference``), which loses no pair at the threshold.  So no bucket
-is cut short, and none is paired off.
+Each node of a bucket is first compared with one of them: the one that meets most
+others in its buckets, so the original of a group of copies.  Where a bucket still
+holds several components, its nodes are compared with the best linked one; and the
+nodes of different components are: all in a small bucket, and in a larger one those
+whose *differences* to the best linked one share a rare gram (see ``by_difference``),
+which loses no pair at the threshold.  So no bucket is cut short, and none is paired
+off.
 """
 
 from __future__ import annotations
@@ -196,15 +197,11 @@ def _across(open_: DataFrame) -> DataFrame:
     return open_.alias("l").join(other.alias("r"), on).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
-def _with_middle(open_: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Each node of a bucket with the best linked one, or (without links) another one for each bucket."""
-    if links is None:
-        middle = F.min(F.struct(F.xxhash64("id", "key"), "id", "component"))
-    else:
-        degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-        open_ = open_.join(degree, "id", "left")
-        middle = F.max(F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("id"), "id", "component"))
-    chosen = open_.groupBy("key").agg(middle.alias("m")).select("key", F.col("m.id").alias("middle"), F.col("m.component").alias("its"))
+def _with_middle(open_: DataFrame, links: DataFrame) -> DataFrame:
+    """Each node of a bucket with its best linked one."""
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
+    middle = F.max(F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("id"), "id", "component"))
+    chosen = open_.join(degree, "id", "left").groupBy("key").agg(middle.alias("m")).select("key", F.col("m.id").alias("middle"), F.col("m.component").alias("its"))
     return meet(open_.select("key", "id", "component", "c"), chosen, ["key"], "id")
 
 
@@ -234,12 +231,13 @@ def cluster(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     groups = written(same.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "nodes")
 
     keys = groups.filter("bands is not null").select("node", F.explode("bands").alias("key"))
-    # one order of all nodes gives a group the same middle in most of its bands
-    middle = F.min(F.struct(F.xxhash64("node"), "node"))["node"]
-    sizes = written(keys.groupBy("key").agg(F.count("*").alias("c"), middle.alias("middle")).filter("c > 1"), "sizes")
+    sizes = written(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
     buckets = written(attach(keys, sizes, ["key"], "c").filter("c > 1"), "buckets")
+    met = buckets.groupBy("node").agg(F.sum("c").alias("met"))
+    middle = F.max(F.struct("met", F.xxhash64("node"), "node"))["node"]
+    stars = attach(buckets, written(buckets.join(met, "node").groupBy("key").agg(middle.alias("middle"), F.count("*").alias("of")), "middles"), ["key"], "of")
     linker = Linker(groups, percent, count)
-    spokes = buckets.filter("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
+    spokes = stars.filter("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
     tried = written(linker.likely(spokes), "likely")
     ids = tried.select(F.col("a").alias("id")).union(tried.select("b")).union(buckets.filter("c > 2").select("node")).distinct()
     sets = written(sets_of(written(ids, "candidates")), "sets")
@@ -250,24 +248,16 @@ def cluster(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     def placed(nodes: DataFrame, key: str) -> DataFrame:
         return nodes.join(component.withColumnRenamed("id", key), key, "left").withColumn("component", F.coalesce("component", key))
 
-    for step in ("another middle", "best linked", "all"):
-        # buckets that still hold several components
-        now = written(placed(members, "id"), "placed")
-        split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        open_ = written(meet(now, split, ["key"], "id"), "open")
-        if not open_.take(1):
-            break
-        around = written(_with_middle(open_, None if step == "another middle" else links), "around")
-        pairs = _spokes(around)
-        if step == "all":
-            large = around.filter((F.col("c") > SMALL_BUCKET) & (F.col("id") != F.col("middle"))).select("middle", "id", "component").distinct()
-            pairs = pairs.unionByName(_across(open_.filter(F.col("c") <= SMALL_BUCKET))).unionByName(by_difference(large, sets, percent))
+    # buckets that still hold several components
+    now = written(placed(members, "id"), "placed")
+    split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    open_ = written(meet(now, split, ["key"], "id"), "open")
+    if open_.take(1):
+        around = written(_with_middle(open_, links), "around")
+        large = around.filter((F.col("c") > SMALL_BUCKET) & (F.col("id") != F.col("middle"))).select("middle", "id", "component").distinct()
+        pairs = _spokes(around).unionByName(_across(open_.filter(F.col("c") <= SMALL_BUCKET))).unionByName(by_difference(large, sets, percent))
         fresh = written(linker.likely(pairs.distinct().join(tried, ["a", "b"], "left_anti")), "likely")
-        found = written(linker.links(fresh, sets), "confirmed")
-        tried = tried.unionByName(fresh)
-        if found.take(1):
-            links = links.unionByName(found)
-            component = joined(component, found)
+        component = joined(component, written(linker.links(fresh, sets), "confirmed"))
     found = written(placed(groups.select("high", "low", "node", "copies"), "node").select("high", "low", "copies", "component"), "components")
     return attach(rows.drop("signature", "bands"), found, ["high", "low"], "copies")
 
