@@ -171,9 +171,13 @@ def by_difference(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     loose = F.when(F.col("linked"), tight).otherwise(F.greatest(F.lit(1), F.expr(f"cast(ceil(({up}L * d - {down}L * (n + m)) / 200D) as int)")))
     apart = written(apart.withColumn("loose", loose.cast("int")).withColumn("tight", F.greatest(tight.cast("int"), "loose")), "differences")
     grams = apart.select("middle", "id", F.explode("apart").alias("gram"))
-    frequent = written(grams.groupBy("middle", "gram").agg(F.count("*").alias("f")).filter("f > 1"), "frequent")
-    ranked = attach(grams, frequent, ["middle", "gram"], "f").filter("f > 1").groupBy("middle", "id").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("shared"))
-    # grams of one set alone come before all others and match none
+    counted = written(grams.groupBy("middle", "gram").agg(F.count("*").alias("f"), F.min("id").alias("id")), "counted")
+    # grams of one set alone fill most prefixes; only sets whose prefix goes on beyond them need the others
+    alone = counted.filter("f = 1").groupBy("middle", "id").agg(F.count("*").alias("alone"))
+    further = apart.join(alone, ["middle", "id"], "left").filter("d - loose + 1 > coalesce(alone, 0)").select("middle", "id", F.explode("apart").alias("gram"))
+    frequent = counted.filter("f > 1").select("middle", "gram", "f")
+    ranked = attach(further, frequent, ["middle", "gram"], "f").filter("f > 1").groupBy("middle", "id").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("shared"))
+    # those of one set alone come before all others and match none
     placed = apart.drop("apart").join(ranked, ["middle", "id"]).select("*", F.posexplode("shared").alias("k", "one"))
     placed = placed.withColumn("at", F.col("d") - F.size("shared") + F.col("k") + 1).withColumn("gram", F.col("one.gram")).filter("at <= d - loose + 1")
     kept = written(placed.select("middle", "gram", "id", "component", "n", "d", "at", "linked", "tight"), "prefixes")
@@ -182,10 +186,10 @@ def by_difference(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     need = F.col("d_a") + F.col("d_b") - 2 * (1 + F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")))
     reach = (need * up <= (F.col("n_a") + F.col("n_b")) * down) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     on = (F.col("l.middle") == F.col("r.middle")) & (F.col("l.gram") == F.col("r.gram")) & (F.col("component_a") != F.col("component_b")) & reach
-    alone, close = kept.filter("not linked"), kept.filter("linked")
-    short = alone.filter("at <= d - tight + 1")
+    far, close = kept.filter("not linked"), kept.filter("linked")
+    short = far.filter("at <= d - tight + 1")
     both = ends(short, "a").alias("l").join(ends(short, "b").alias("r"), on & (F.col("id_a") < F.col("id_b")))
-    one = ends(alone, "a").alias("l").join(ends(close, "b").alias("r"), on)
+    one = ends(far, "a").alias("l").join(ends(close, "b").alias("r"), on)
     ids = [F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")]
     return both.select(ids).unionByName(one.select(ids))
 
