@@ -202,11 +202,15 @@ def _across(open_: DataFrame) -> DataFrame:
 
 
 def _with_middle(open_: DataFrame, links: DataFrame) -> DataFrame:
-    """Each node of a bucket with its best linked one."""
+    """Each node of a bucket with a middle: the best linked one of its nodes' buckets.
+
+    It may be outside the bucket; so nearly all buckets of a group have one middle.
+    """
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-    middle = F.max(F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("id"), "id", "component"))
-    chosen = open_.join(degree, "id", "left").groupBy("key").agg(middle.alias("m")).select("key", F.col("m.id").alias("middle"), F.col("m.component").alias("its"))
-    return meet(open_.select("key", "id", "component", "c"), chosen, ["key"], "id")
+    best = open_.join(degree, "id", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("id").alias("hash"), "id", "component")).alias("m"))
+    own = meet(open_.select("key", "id"), best, ["key"], "id").groupBy("id").agg(F.max("m").alias("m"))
+    best = open_.select("key", "id").join(own, "id").groupBy("key").agg(F.max("m").alias("m")).select("key", F.col("m.id").alias("middle"), F.col("m.component").alias("its"))
+    return meet(open_.select("key", "id", "component", "c"), best, ["key"], "id")
 
 
 def _spokes(rows: DataFrame) -> DataFrame:
