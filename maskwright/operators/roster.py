@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import canonical_hash, strip
+from maskwright.sources.scratch import written
 
 CANDIDATE = "struct<community_id:string,sheet_ref:string,given_name:string,family_name:string,display_name:string,confidence:double>"
 PERSON = (
@@ -31,37 +32,41 @@ LIST_HEADER = r"(?i)^(?:(?:student|child|member|parishioner|person|parent|guardi
 
 
 def roster_sheets(cells: DataFrame) -> DataFrame:
-    """The header row and width of each sheet that can hold a roster: doc_id, sheet, header_row, width, one_column.
+    """The sheets that can hold a roster: doc_id, sheet, place, header_row, last_row, width, one_column.
 
     A header is the first row of two filled cells with a header word, else the first
-    of two filled cells; a list of one column needs a cell that names people.
+    of two filled cells; a list of one column needs a cell that names people.  ``place``
+    numbers a document's roster sheets without gaps, as a plan lists them, while
+    ``sheet`` is the number in the workbook.  Of more than MOST_SHEETS, those without a
+    header word go.
     """
     filled = cells.filter((F.col("row") < HEADER_ROWS) & (strip(F.col("value")) != ""))
     rows = filled.groupBy("doc_id", "sheet", "row").agg(F.count("*").alias("n"), F.bool_or(F.col("value").rlike(HEADER_WORD)).alias("word"), F.bool_or(strip(F.col("value")).rlike(LIST_HEADER)).alias("names"))
-    heads = rows.groupBy("doc_id", "sheet").agg(
-        F.min(F.when((F.col("n") >= 2) & F.col("word"), F.col("row"))).alias("worded"), F.min(F.when(F.col("n") >= 2, F.col("row"))).alias("wide"),
-        F.min(F.when((F.col("n") == 1) & F.col("names"), F.col("row"))).alias("single"),
-    )
-    width = cells.groupBy("doc_id", "sheet").agg((F.max("col") + 1).alias("width"))
-    found = heads.select("doc_id", "sheet", F.coalesce("worded", "wide", "single").alias("header_row"), F.coalesce("worded", "wide").isNull().alias("one_column"))
-    return found.filter("header_row is not null").join(width, ["doc_id", "sheet"])
+    first = lambda where: F.min(F.when(where, F.struct("row", "word")))
+    heads = rows.groupBy("doc_id", "sheet").agg(first((F.col("n") >= 2) & F.col("word")).alias("worded"), first(F.col("n") >= 2).alias("wide"), first((F.col("n") == 1) & F.col("names")).alias("single"))
+    extent = cells.groupBy("doc_id", "sheet").agg((F.max("col") + 1).alias("width"), F.max("row").alias("last_row"))
+    found = heads.withColumn("h", F.coalesce("worded", "wide", "single")).filter("h is not null")
+    found = found.withColumn("many", F.count("*").over(Window.partitionBy("doc_id")) > MOST_SHEETS).filter("h.word or not many")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet")) - 1)
+    found = found.select("doc_id", "sheet", "place", F.col("h.row").alias("header_row"), F.coalesce("worded", "wide").isNull().alias("one_column"))
+    return found.join(extent, ["doc_id", "sheet"]).select("doc_id", "sheet", "place", "header_row", "last_row", "width", "one_column")
 
 
 def over_limits(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Documents beyond a roster's limits and why: doc_id, reason."""
-    body = cells.join(sheets, ["doc_id", "sheet"])
-    rows = body.filter("row > header_row").groupBy("doc_id").agg(F.count_distinct("sheet", "row").alias("n")).filter(F.col("n") > MOST_ROWS).select("doc_id", F.lit("rows").alias("reason"))
+    """Documents beyond a roster's limits and why: doc_id, reason.  Blank rows count, cells above a header don't."""
+    rows = sheets.groupBy("doc_id").agg(F.sum(F.col("last_row") - F.col("header_row")).alias("n")).filter(F.col("n") > MOST_ROWS).select("doc_id", F.lit("rows").alias("reason"))
     many = sheets.groupBy("doc_id").count().filter(F.col("count") > MOST_SHEETS).select("doc_id", F.lit("sheets").alias("reason"))
     wide = sheets.filter(F.col("width") > MOST_COLUMNS).select("doc_id", F.lit("columns").alias("reason"))
-    long = body.filter(F.length("value") > MOST_CHARS).select("doc_id", F.lit("cell").alias("reason"))
+    body = cells.filter(F.length("value") > MOST_CHARS).join(sheets.select("doc_id", "sheet", "header_row"), ["doc_id", "sheet"])
+    long = body.filter("row >= header_row").select("doc_id", F.lit("cell").alias("reason"))
     return rows.unionByName(many).unionByName(wide).unionByName(long).distinct()
 
 
 def roster_rows(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """The padded rows below each header: doc_id, sheet, row, cells."""
-    body = cells.join(sheets.select("doc_id", "sheet", "header_row", "width"), ["doc_id", "sheet"]).filter("row > header_row")
-    own = body.groupBy("doc_id", "sheet", "row", "width").agg(F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("value")))).alias("m"))
-    return own.select("doc_id", "sheet", "row", F.expr("transform(sequence(0, width - 1), c -> coalesce(m[c], ''))").alias("cells"))
+    """The padded rows below each header, blank ones too: doc_id, sheet, row, cells."""
+    every = sheets.filter("last_row > header_row").select("doc_id", "sheet", "width", F.explode(F.sequence(F.col("header_row") + 1, "last_row")).alias("row"))
+    own = cells.groupBy("doc_id", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("value")))).alias("m"))
+    return every.join(own, ["doc_id", "sheet", "row"], "left").select("doc_id", "sheet", "row", F.expr("transform(sequence(0, width - 1), c -> coalesce(m[c], ''))").alias("cells"))
 
 
 def parse_plan(plans: DataFrame) -> DataFrame:
@@ -70,12 +75,13 @@ def parse_plan(plans: DataFrame) -> DataFrame:
 
 
 def plan_rows(plans: DataFrame) -> DataFrame:
-    sheets = plans.select("doc_id", F.posexplode("plan.sheets").alias("sheet", "s"))
-    return sheets.select("doc_id", "sheet", F.explode("s.rows").alias("r")).filter("not coalesce(r.skipped, false)")
+    """doc_id, the place of the sheet among the roster sheets, and each row that isn't skipped."""
+    sheets = plans.select("doc_id", F.posexplode("plan.sheets").alias("place", "s"))
+    return sheets.select("doc_id", "place", F.explode("s.rows").alias("r")).filter("not coalesce(r.skipped, false)")
 
 
 def persons(plans: DataFrame) -> DataFrame:
-    return plan_rows(plans).select("doc_id", "sheet", F.col("r.index").alias("index"), F.col("r.family.community_id").alias("family_id"), F.explode("r.persons").alias("p"))
+    return plan_rows(plans).select("doc_id", "place", F.col("r.index").alias("index"), F.col("r.family.community_id").alias("family_id"), F.explode("r.persons").alias("p"))
 
 
 def _full_name(x: str):
@@ -87,8 +93,8 @@ def plan_items(plans: DataFrame, sheets: DataFrame, committed: bool = False) ->
 
     Before the commit a list of one column sends everybody to review.
     """
-    meta = sheets.select("doc_id", "sheet", "header_row", "one_column")
-    people = persons(plans).join(meta, ["doc_id", "sheet"])
+    meta = sheets.select("doc_id", "place", "sheet", "header_row", "one_column")
+    people = persons(plans).join(meta, ["doc_id", "place"])
     ask = F.lit(not committed) & F.col("one_column") & F.col("p.action").isin("new", "matched")
     none, reasons = F.expr(f"cast(array() as array<{CANDIDATE}>)"), F.array().cast("array<string>")
     offered = F.coalesce("p.candidates", none)
@@ -98,7 +104,7 @@ def plan_items(plans: DataFrame, sheets: DataFrame, committed: bool = False) ->
         F.when(ask & F.col("p.matched").isNotNull(), F.concat(offered, F.array("p.matched"))).otherwise(offered).alias("candidates"),
         F.when(ask, F.concat(F.coalesce("p.review_reasons", reasons), F.array(F.lit("one_column_list")))).otherwise(F.coalesce("p.review_reasons", reasons)).alias("reasons"),
     )
-    homes = plan_rows(plans).filter("r.family is not null").join(meta, ["doc_id", "sheet"])
+    homes = plan_rows(plans).filter("r.family is not null").join(meta, ["doc_id", "place"])
     homes = homes.select(
         "doc_id", F.col("r.family.key").alias("key"), F.lit("family").alias("kind"), "sheet", (F.col("header_row") + F.col("r.index") + 2).alias("sheet_row"),
         F.coalesce(F.nullif("r.family.display_name", F.lit("")), F.lit("(household)")).alias("label"), F.col("r.family.action").alias("action"),
@@ -129,6 +135,16 @@ def valid_decisions(decisions: DataFrame, items: DataFrame, stale: DataFrame | N
     return rows.withColumn("t", target).filter(fits).select("doc_id", "key", "action", F.when(F.col("action") == "attach", F.col("t")).alias("target"))
 
 
+def decide(decisions: DataFrame, changes: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
+    """Decisions (doc_id, key, action, target) after ``changes``: a new one replaces that of its key, ``undo`` takes it back.
+
+    Changes of ``frozen`` documents (doc_id), whose commit has no known outcome, are refused.
+    """
+    if frozen is not None:
+        changes = changes.join(frozen.select("doc_id").distinct(), "doc_id", "left_anti")
+    return overlay(decisions, changes).filter("action <> 'undo'")
+
+
 def overlay(decisions: DataFrame, kept: DataFrame) -> DataFrame:
     """Decisions with those of kept names over them."""
     return decisions.join(kept.select("doc_id", "key"), ["doc_id", "key"], "left_anti").unionByName(kept)
@@ -146,7 +162,8 @@ def name_cell(x: str):
 
 
 def _with_row(df: DataFrame, sheets: DataFrame, index) -> DataFrame:
-    return df.join(sheets.select("doc_id", "sheet", "header_row", "width"), ["doc_id", "sheet"]).withColumn("row", F.col("header_row") + 1 + index)
+    """``df`` with the workbook's sheet and row numbers."""
+    return df.join(sheets.select("doc_id", "place", "sheet", "header_row", "width"), ["doc_id", "place"]).withColumn("row", F.col("header_row") + 1 + index)
 
 
 def kept_names(plans: DataFrame, sheets: DataFrame, cells: DataFrame, deselected: DataFrame) -> DataFrame:
@@ -178,6 +195,13 @@ def certain_names(plans: DataFrame, sheets: DataFrame, cells: DataFrame) -> Data
     return found.filter((F.length("value") >= 2) & F.col("value").rlike(r"\p{L}")).select("doc_id", "value", F.lit("PERSON").alias("tag"), F.lit(4).alias("source"), F.lit(0).cast("long").alias("seq"))
 
 
+def plan_totals(plans: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Roster sheets, rows sent and people planned of each document: doc_id, sheets, rows, people."""
+    sent = sheets.groupBy("doc_id").agg(F.count("*").alias("sheets"), F.sum(F.greatest(F.col("last_row") - F.col("header_row"), F.lit(0))).alias("rows"))
+    people = plan_rows(plans).groupBy("doc_id").agg(F.sum(F.greatest(F.size("r.persons"), F.lit(0))).alias("people"))
+    return sent.join(people, "doc_id", "left").select("doc_id", "sheets", "rows", F.coalesce("people", F.lit(0)).alias("people"))
+
+
 def outcome_counts(results: DataFrame) -> DataFrame:
     """known and new people and households of committed results, and skipped rows: doc_id, kind, known, new, skipped.
 
@@ -196,12 +220,12 @@ def identities(results: DataFrame) -> DataFrame:
     The first spelling names a person unless it has no space and a longer one comes;
     the first household sticks.  A household without a label is named by its members.
     """
-    at = F.struct("sheet", "index", F.coalesce("p.slot", F.lit(0)).alias("slot"))
+    at = F.struct("place", "index", F.coalesce("p.slot", F.lit(0)).alias("slot"))
     people = persons(results).filter("p.community_id is not null and coalesce(p.action, '') <> 'skip'").select("doc_id", F.col("p.community_id").alias("id"), at.alias("at"), _full_name("p").alias("name"), "family_id")
     seen = people.groupBy("doc_id", "id").agg(F.array_sort(F.collect_list(F.struct("at", "name", "family_id"))).alias("s"))
     display = F.expr("aggregate(transform(s, x -> x.name), '', (d, n) -> if(length(n) > length(d) and not contains(d, ' '), n, d))")
     people = seen.select("doc_id", F.col("id").alias("community_id"), F.lit("person").alias("kind"), display.alias("display"), F.expr("get(filter(transform(s, x -> x.family_id), f -> f is not null), 0)").alias("family"), F.col("s")[0]["at"].alias("at"))
-    labels = plan_rows(results).filter("r.family.community_id is not null").groupBy("doc_id", F.col("r.family.community_id").alias("community_id")).agg(F.min(F.when(F.trim("r.family.display_name") != "", F.struct("sheet", F.col("r.index").alias("i"), F.trim("r.family.display_name").alias("label"))))["label"].alias("label"))
+    labels = plan_rows(results).filter("r.family.community_id is not null").groupBy("doc_id", F.col("r.family.community_id").alias("community_id")).agg(F.min(F.when(F.trim("r.family.display_name") != "", F.struct("place", F.col("r.index").alias("i"), F.trim("r.family.display_name").alias("label"))))["label"].alias("label"))
     members = people.filter("family is not null and display <> ''").groupBy("doc_id", F.col("family").alias("community_id")).agg(F.concat(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "display"))), lambda x: x["display"])), " & "), F.lit(" household")).alias("by_members"))
     homes = labels.join(members, ["doc_id", "community_id"], "left").select("doc_id", "community_id", F.lit("family").alias("kind"), F.coalesce("label", "by_members", F.lit("")).alias("display"), F.lit(None).cast("string").alias("family"))
     return people.drop("at").unionByName(homes)
@@ -234,13 +258,29 @@ def commit_key(requests: DataFrame) -> DataFrame:
     return requests.withColumn("idempotency_key", canonical_hash(*(F.col(c) for c in sorted(requests.columns))))
 
 
-def commit_once(requests: DataFrame, ledger: DataFrame, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The outcome of each request, sent only if its key isn't in the ledger (idempotency_key, outcome).
+def commit_once(requests: DataFrame, ledger: DataFrame, send: Callable[[DataFrame], DataFrame], scope: str = "") -> DataFrame:
+    """The outcome of each request: idempotency_key, outcome and what else ``send`` returns.
 
-    An outcome ``unknown`` stays frozen: the same request is sent again with the same
-    key, and nothing else for its document.
+    A request whose key has an outcome in the ledger (idempotency_key, outcome) isn't
+    sent again.  While an outcome is ``unknown``, its document (``doc_id``, if both
+    tables have it) is frozen: the same request is sent again under the same key, any
+    other for the document gets the outcome ``frozen`` unsent.  So does the same request
+    if it was first sent under another ``scope`` (a column of the ledger, if there), as
+    the receiver wouldn't know the key again.  Outcomes are written before they are
+    returned, so reading them twice sends nothing twice.
     """
     keyed = commit_key(requests)
     done = ledger.filter("outcome <> 'unknown'")
-    fresh = keyed.join(done.select("idempotency_key"), "idempotency_key", "left_anti")
-    return send(fresh).unionByName(done.join(keyed.select("idempotency_key"), "idempotency_key", "left_semi"), allowMissingColumns=True)
+    known = done.join(keyed.select("idempotency_key"), "idempotency_key", "left_semi")
+    left = keyed.join(done.select("idempotency_key"), "idempotency_key", "left_anti")
+    open_ = ledger.filter("outcome = 'unknown'").join(done.select("idempotency_key"), "idempotency_key", "left_anti")
+    same = open_.select("idempotency_key", (F.coalesce(F.col("scope") != scope, F.lit(False)) if "scope" in ledger.columns else F.lit(False)).alias("foreign")).groupBy("idempotency_key").agg(F.bool_or("foreign").alias("foreign"))
+    left = left.join(same, "idempotency_key", "left")
+    held = F.coalesce("foreign", F.lit(False))
+    if "doc_id" in ledger.columns and "doc_id" in requests.columns:
+        left = left.join(open_.select("doc_id", F.lit(True).alias("waits")).distinct(), "doc_id", "left")
+        held = held | (F.col("foreign").isNull() & F.coalesce("waits", F.lit(False)))
+    left = left.withColumn("held", held)
+    sent = written(send(left.filter("not held").select(keyed.columns)), "outcomes")
+    frozen = left.filter("held").select("idempotency_key", F.lit("frozen").alias("outcome"))
+    return sent.unionByName(frozen, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)

@@ -117,7 +117,8 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     text = content.decode()
                 except UnicodeDecodeError:
                     text = content.decode("latin-1")
-                rows += [(doc_id, 0, r, c, v) for r, row in enumerate(csv_rows(text)) for c, v in enumerate(row)]
+                # a blank line is a row of one empty cell, so that row numbers stay those of the file
+                rows += [(doc_id, 0, r, c, v) for r, row in enumerate(csv_rows(text)) for c, v in enumerate(row or [""])]
             else:
                 rows += [(doc_id, s, r, c, v) for s, (_, found) in enumerate(xlsx_sheets(content)) for (r, c), v in sorted(found.items())]
         yield pd.DataFrame(rows, columns=["doc_id", "sheet", "row", "col", "value"])
