@@ -29,17 +29,27 @@ def sheet_text(cells: DataFrame, separator: str = ",") -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
 
 
-def apply_overrides(cells: DataFrame, overrides: DataFrame) -> DataFrame:
+def apply_overrides(cells: DataFrame, overrides: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
     """Cells rewritten where they still hold what was expected; ``skipped`` marks the others.
 
-    ``overrides`` has the key, expected and new.
+    ``overrides`` has the key, expected and new.  ``forbidden`` (the key) are cells that
+    can't be rewritten, as a formula's or a merged one; they are skipped too.
     """
     rows = cells.join(overrides.select(*KEY, "expected", "new"), KEY, "left")
     value = F.coalesce("value", F.lit(""))
     hit = F.col("new").isNotNull() & (value == F.col("expected"))
+    if forbidden is not None:
+        rows = rows.join(forbidden.select(*KEY, F.lit(True).alias("fixed")).distinct(), KEY, "left")
+        hit = hit & F.col("fixed").isNull()
     return rows.select(*KEY, F.when(hit, F.col("new")).otherwise(value).alias("value"), hit.alias("overridden"), (F.col("new").isNotNull() & ~hit).alias("skipped"))
 
 
+def written_cells(done: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The overrides that ``apply_overrides`` carried out, as a key records them: the key, written, original."""
+    hit = done.filter("overridden").select(*KEY)
+    return overrides.join(hit, KEY, "left_semi").select(*KEY, F.col("new").alias("written"), F.col("expected").alias("original"))
+
+
 def scrub_cells(cells: DataFrame, registry: DataFrame, overrides: DataFrame | None = None, protected: tuple[str, ...] = ()) -> DataFrame:
     """Cells with overrides applied first and every registered value replaced in the others."""
     if overrides is None:

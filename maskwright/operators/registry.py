@@ -97,11 +97,15 @@ def recent(registry: DataFrame, most: int = 40) -> DataFrame:
 
 
 def reserved_ids(ledger: DataFrame | None, keys: DataFrame | None) -> DataFrame:
-    """hex_id of every id in the ledger (value, a line each) or in a key's placeholders."""
+    """hex_id of every id in the ledger (value, a line each) or anywhere in a key: its placeholders, entities and sheet titles."""
     out = None
     if ledger is not None:
         out = ledger.select(F.upper(F.trim("value")).alias("hex_id"))
     if keys is not None:
-        ids = keys.select(F.explode(F.map_values("replacement_map")).alias("p")).select(F.regexp_extract("p", r"_([0-9A-F]{12})\]", 1).alias("hex_id"))
-        out = ids if out is None else out.unionByName(ids)
+        each = lambda texts, pattern: keys.select(F.explode(texts).alias("p")).select(F.explode(F.regexp_extract_all("p", F.lit(pattern), F.lit(1))).alias("hex_id"))
+        sources = [("replacement_map", F.map_values, r"_([0-9A-F]{12})\]"), ("entity_registry", F.map_keys, r"^([0-9A-F]{12})$"), ("sheet_titles", F.map_keys, r"_([0-9A-F]{12})(?![0-9A-F])")]
+        for name, of, pattern in sources:
+            if name in keys.columns:
+                ids = each(of(name), pattern)
+                out = ids if out is None else out.unionByName(ids)
     return out.filter(is_valid_id(F.col("hex_id"))).distinct()

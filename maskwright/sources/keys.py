@@ -18,9 +18,16 @@ REQUIRED = ("session_id", "original_filename", "replacement_map")
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
-    """The valid key files below ``path`` with name, modified and key_no, their order by age."""
-    keys = spark.read.schema(SCHEMA).option("multiLine", "true").json(path).select("*", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("modified"))
-    return numbered(keys.filter(" and ".join(f"{c} is not null" for c in REQUIRED)))
+    """The valid keys below ``path`` with name, modified and key_no, their order by age.
+
+    A file has a key a line, as ``write_keys`` leaves them, or one key over many lines.
+    """
+    about = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("modified")]
+    read = lambda whole: spark.read.schema(SCHEMA).option("multiLine", whole).json(path).select("*", *about).filter(" and ".join(f"{c} is not null" for c in REQUIRED))
+    lines = read("false")
+    # of a file of lines this reading has the first one only
+    whole = read("true").join(lines.select("_file").distinct(), "_file", "left_anti").select(lines.columns)
+    return numbered(lines.unionByName(whole).drop("_file"))
 
 
 def numbered(keys: DataFrame) -> DataFrame:
@@ -44,14 +51,33 @@ def recent_keys(keys: DataFrame, most: int = 1000) -> DataFrame:
     return keys.select("name", "session_id", "original_filename", "modified", size("replacement_map").alias("values"), F.when(hexes, "hex12").otherwise("legacy").alias("format")).orderBy(F.desc("modified"), "name").limit(most)
 
 
-def build_keys(registry: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One key per document from its registry; ``sessions`` has doc_id, session_id, original_filename, created_at."""
+def build_keys(registry: DataFrame, sessions: DataFrame, identities: DataFrame | None = None, cells: DataFrame | None = None, columns: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """One key per document from its registry; ``sessions`` has doc_id, session_id, original_filename, created_at.
+
+    A roster's key also has its ``identities`` (community_id, kind, display, family),
+    and, with them, the ``cells`` that were rewritten (sheet, row, col, written,
+    original; see ``cells.written_cells``) and the ``columns`` that were appended
+    (sheet, col, header_row, header).  ``titles`` (written, original) are sheet titles.
+    Each has a doc_id; documents without any have nulls there.
+    """
     maps = registry.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("original", "placeholder"))).alias("replacement_map"),
         F.array_sort(F.collect_set("tag")).alias("pii_types_scrubbed"),
         F.map_from_entries(F.collect_list(F.struct("hex_id", F.struct("types", F.create_map("tag", "original").alias("values"), "linked_to")))).alias("entity_registry"),
     )
-    return sessions.join(maps, "doc_id").withColumn("id_format", F.lit("hex12")).drop("doc_id")
+    keys = sessions.join(maps, "doc_id").withColumn("id_format", F.lit("hex12"))
+    if titles is not None:
+        named = titles.dropDuplicates(["doc_id", "written"]).groupBy("doc_id")
+        keys = keys.join(named.agg(F.map_from_entries(F.collect_list(F.struct("written", "original"))).alias("sheet_titles")), "doc_id", "left")
+    if identities is not None:
+        people = identities.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("community_id", F.struct("kind", "display", "family")))).alias("identity_registry"))
+        keys = keys.join(people, "doc_id", "left")
+        parts = [(cells, "identity_cells", ["sheet", "row", "col", "written", "original"]), (columns, "identity_columns", ["sheet", "col", "header_row", "header"])]
+        for rows, name, fields in parts:
+            if rows is not None:
+                listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+                keys = keys.join(listed, "doc_id", "left").withColumn(name, F.when(F.col("identity_registry").isNotNull(), F.col(name)))
+    return keys.drop("doc_id")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -76,3 +76,32 @@ def test_stream(spark, tmp_path):
     query = stream.first_seen(source, ["EMAIL"]).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.value for r in spark.sql("select value from seen").collect()) == ["a@example.com", "b@example.com"]
+
+
+def test_a_rosters_key_has_its_identities(spark, tmp_path):
+    from maskwright.operators import cells as C
+
+    cells = spark.createDataFrame([(1, 0, 1, 0, "Ann Lee"), (1, 0, 2, 0, "=A1"), (1, 0, 3, 0, "changed")], "doc_id long, sheet int, row int, col int, value string")
+    over = spark.createDataFrame([(1, 0, r, 0, v, "[I1]") for r, v in ((1, "Ann Lee"), (2, "=A1"), (3, "Tom"))], "doc_id long, sheet int, row int, col int, expected string, new string")
+    done = C.apply_overrides(cells, over, forbidden=spark.createDataFrame([(1, 0, 2, 0)], "doc_id long, sheet int, row int, col int"))
+    assert {r.row: (r.value, r.overridden, r.skipped) for r in done.collect()} == {1: ("[I1]", True, False), 2: ("=A1", False, True), 3: ("changed", False, True)}
+    rows = spark.createDataFrame([(1, "Bob", "PERSON", "0A1B2C3D4E5F", "[PERSON_0A1B2C3D4E5F]"), (2, "Eve", "PERSON", "1A1B2C3D4E5F", "[PERSON_1A1B2C3D4E5F]")], "doc_id long, original string, tag string, hex_id string, placeholder string")
+    rows = rows.selectExpr("*", "array(tag) as types", "cast(null as string) as linked_to")
+    sessions = spark.createDataFrame([(1, "s1", "a.csv", "2024"), (2, "s2", "b.csv", "2024")], "doc_id long, session_id string, original_filename string, created_at string")
+    people = spark.createDataFrame([(1, "I1", "person", "Ann Lee", None)], "doc_id long, community_id string, kind string, display string, family string")
+    titles = spark.createDataFrame([(1, "PERSON_2A1B2C3D4E5F", "Eve's")], "doc_id long, written string, original string")
+    columns = spark.createDataFrame([(1, 0, 4, 0, "Family id")], "doc_id long, sheet int, col int, header_row int, header string")
+    built = keys.build_keys(rows, sessions, people, C.written_cells(done, over), columns, titles)
+    sinks.write_keys(built, str(tmp_path / "keys"))
+    read = {r.session_id: r for r in keys.read_keys(spark, str(tmp_path / "keys")).collect()}
+    assert read["s1"].identity_registry["I1"].display == "Ann Lee" and read["s2"].identity_registry is None
+    assert [tuple(c) for c in read["s1"].identity_cells] == [(0, 1, 0, "[I1]", "Ann Lee")]
+    assert [tuple(c) for c in read["s1"].identity_columns] == [(0, 4, 0, "Family id")]
+    ids = registry.reserved_ids(None, keys.read_keys(spark, str(tmp_path / "keys")))
+    assert {r.hex_id for r in ids.collect()} == {"0A1B2C3D4E5F", "1A1B2C3D4E5F", "2A1B2C3D4E5F"}
+
+
+def test_a_blank_line_keeps_its_row_number(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"Name,Phone\n\nAnn,1\n")
+    found = files.cells(files.read_files(spark, str(tmp_path))).collect()
+    assert sorted((r.row, r.col, r.value) for r in found) == [(0, 0, "Name"), (0, 1, "Phone"), (1, 0, ""), (2, 0, "Ann"), (2, 1, "1")]
