@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.answers import ITEMS, answer_items, halves
 from maskwright.functions.tags import NUMERIC_TAGS, TAGS, allowed_tags
 from maskwright.functions.text import is_plain_amount, is_version, luhn, strip, without_placeholders
 
@@ -121,12 +123,42 @@ def detect_consensus(cells: DataFrame, detected: DataFrame) -> DataFrame:
     return _hits(added.select("doc_id", "value", "tag", place.alias("seq")), "consensus")
 
 
-def detect_model(chunks: DataFrame, model: Callable[[str], list[dict] | None], tags: Iterable[str] = TAGS, attempts: int = 3) -> DataFrame:
+class Truncated(Exception):
+    """Raised by a model whose answer had no room."""
+
+
+def _scan(text: str, model: Callable[[str], list[dict] | None], attempts: int, wait: float) -> list[dict] | None:
+    """The items of a text, of its halves where an answer had no room; None if a part can't be read."""
+    found, left = [], [text]
+    while left:
+        part = left.pop(0)
+        items = None
+        for k in range(attempts):
+            try:
+                items = model(part)
+            except Truncated:
+                if (both := halves(part)) is None:
+                    return None
+                left[:0] = both
+                items = []
+            if items is not None:
+                break
+            if k + 1 < attempts:
+                time.sleep(wait * (k + 1))
+        if items is None:
+            return None
+        found += items
+    return found
+
+
+def detect_model(chunks: DataFrame, model: Callable[[str], list[dict] | None], tags: Iterable[str] = TAGS, attempts: int = 3, wait: float = 1.0) -> DataFrame:
     """Items that a pluggable model finds in each chunk (doc_id, chunk_no, text).
 
     ``model`` returns the items of a text, or None for an unreadable answer, which is
-    asked again and then fails the job: a chunk that can't be scanned never passes as
-    clean.  Items of other than the allowed tags are left out; plain amounts too.
+    asked again after ``wait`` seconds, then twice as many, and then fails the job: a
+    chunk that can't be scanned never passes as clean.  If it raises ``Truncated``, the
+    text is asked in halves.  Items of other than the allowed tags are left out; plain
+    amounts too.
     """
     allowed = allowed_tags(tags)
 
@@ -134,7 +166,7 @@ def detect_model(chunks: DataFrame, model: Callable[[str], list[dict] | None], t
         for b in batches:
             rows = []
             for doc_id, no, text in zip(b["doc_id"], b["chunk_no"], b["text"], strict=True):
-                items = next((x for x in (model(text) for _ in range(attempts)) if x is not None), None)
+                items = _scan(text, model, attempts, wait)
                 if items is None:
                     raise RuntimeError(f"chunk {no} can't be scanned")
                 rows += [(doc_id, no, k, str(i.get("text", "")).strip(), str(i.get("type", "")).upper(), i.get("linked_to")) for k, i in enumerate(items)]
@@ -142,10 +174,22 @@ def detect_model(chunks: DataFrame, model: Callable[[str], list[dict] | None], t
 
     kind = chunks.schema["doc_id"].dataType.simpleString()
     found = chunks.select("doc_id", "chunk_no", "text").mapInPandas(run, f"doc_id {kind}, chunk_no int, k int, value string, tag string, linked_to string")
+    return _model_hits(found, allowed)
+
+
+def _model_hits(found: DataFrame, allowed: list[str]) -> DataFrame:
     keep = F.col("tag").isin(allowed) & (F.col("value") != "") & (F.col("tag").isin(NUMERIC_TAGS) | ~is_plain_amount(F.col("value")))
     return found.filter(keep).select("doc_id", "value", "tag", F.lit(0).alias("source"), (F.col("chunk_no").cast("long") * (1 << 20) + F.col("k")).alias("seq"), "linked_to")
 
 
+def detect_answers(answers: DataFrame, tags: Iterable[str] = TAGS) -> DataFrame:
+    """As ``detect_model``, from a table of raw answers (doc_id, chunk_no, answer); an unreadable one fails the job."""
+    items = F.coalesce(answer_items(F.col("answer")), F.raise_error(F.concat(F.lit("chunk "), F.col("chunk_no").cast("string"), F.lit(" can't be scanned"))).cast(ITEMS))
+    each = answers.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.posexplode(items).alias("k", "item"))
+    found = each.select("doc_id", "chunk_no", "k", strip(F.coalesce("item.text", F.lit(""))).alias("value"), F.upper("item.type").alias("tag"), F.col("item.linked_to").alias("linked_to"))
+    return _model_hits(found, allowed_tags(tags))
+
+
 def skipped_amounts(items: DataFrame) -> DataFrame:
     """The distinct plain amounts among tagged items (doc_id, value, tag), kept as they are."""
     return items.filter(~F.col("tag").isin(NUMERIC_TAGS) & is_plain_amount(F.col("value"))).select("doc_id", "value").distinct()

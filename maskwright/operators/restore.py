@@ -168,19 +168,44 @@ def restore(docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     return apply_spans(docs, found.filter("original is not null").select("doc_id", "start", "end", "original")), found
 
 
-def glued(docs: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
-    """Known twelve-digit ids inside longer runs that no token covers: doc_id, start, token."""
-    run = F.lit("[0-9A-Fa-f]{12,}")
-    runs = docs.filter(F.col("text").rlike("[0-9A-Fa-f]{12}")).select("doc_id", F.regexp_extract_all("text", run, 0).alias("runs"), F.split("text", "[0-9A-Fa-f]{12,}", -1).alias("gaps"))
+def _inside_runs(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """Known ids (hex) of ``width`` digits at any place of a longer run: doc_id, run, start, token."""
+    pattern = f"[0-9A-Fa-f]{{{width},}}"
+    cut = docs.filter(F.col("text").rlike(pattern)).select("doc_id", F.regexp_extract_all("text", F.lit(pattern), 0).alias("runs"), F.split("text", pattern, -1).alias("gaps"))
     # each run begins behind the gaps and runs before it
     step = lambda at, i: F.struct((at["next"] + F.length(F.element_at("gaps", i + 1))).alias("at"), (at["next"] + F.length(F.element_at("gaps", i + 1)) + F.length(F.element_at("runs", i + 1))).alias("next"))
     places = F.aggregate(F.sequence(F.lit(0), F.size("runs") - 1), F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("all")), lambda acc, i: F.struct(step(acc, i)["next"].alias("next"), F.concat(acc["all"], F.array(step(acc, i)["at"])).alias("all")), lambda acc: acc["all"])
-    dense = runs.select("doc_id", F.inline(F.arrays_zip(places.alias("at"), F.col("runs").alias("run"))))
-    dense = dense.select("doc_id", "at", "run", F.explode(F.sequence(F.lit(0), F.length("run") - 12)).alias("i"))
-    rows = dense.select("doc_id", (F.col("at") + F.col("i")).alias("start"), F.expr("substring(run, i + 1, 12)").alias("token"))
-    rows = rows.join(index.filter("kind = 'hex'").select("hex"), F.upper("token") == F.col("hex"), "left_semi")
+    each = cut.select("doc_id", F.inline(F.arrays_zip(places.alias("at"), F.col("runs").alias("run"))))
+    each = each.select("doc_id", "at", "run", F.explode(F.sequence(F.lit(0), F.length("run") - width)).alias("i"))
+    rows = each.select("doc_id", F.col("at").alias("run"), (F.col("at") + F.col("i")).alias("start"), F.substring("run", F.col("i") + 1, F.lit(width)).alias("token"))
+    return rows.join(known.select("hex"), F.upper("token") == F.col("hex"), "left_semi")
+
+
+def _uncovered(rows: DataFrame, over: DataFrame, width: int) -> DataFrame:
+    """The ids that begin in no span of ``over`` (d, a, b); of a run's overlapping ones the first, and so on."""
+    free = rows.join(over, (F.col("doc_id") == F.col("d")) & (F.col("start") >= F.col("a")) & (F.col("start") < F.col("b")), "left_anti")
+    per = free.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("start", "token"))).alias("all"))
+    chosen = F.expr(f"aggregate(all, cast(array() as array<struct<start:int,token:string>>), (kept, x) -> if(size(kept) = 0 or x.start >= element_at(kept, -1).start + {width}, concat(kept, array(x)), kept))")
+    return per.select("doc_id", F.inline(chosen))
+
+
+def glued(docs: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
+    """Known ids inside longer runs of digits that no token covers: doc_id, start, token.
+
+    Ids of twelve digits first, then those of identities, sixteen, where none of the
+    former covers them.
+    """
     over = found.filter("original is not null or report").select(F.col("doc_id").alias("d"), F.col("start").alias("a"), F.col("end").alias("b"))
-    return rows.join(over, (F.col("doc_id") == F.col("d")) & (F.col("start") >= F.col("a")) & (F.col("start") < F.col("b")), "left_anti")
+    short = _uncovered(_inside_runs(docs, index.filter("kind = 'hex'"), 12), over, 12)
+    taken = over.unionByName(short.select(F.col("doc_id").alias("d"), F.col("start").alias("a"), (F.col("start") + 12).alias("b")))
+    return short.unionByName(_uncovered(_inside_runs(docs, index.filter("kind = 'identity' and length(hex) = 16"), 16), taken, 16))
+
+
+def with_glued(docs: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
+    """``found`` with glued ids as unresolved tokens, for ``restore_report``."""
+    rows = glued(docs, found, index)
+    no = F.lit(False)
+    return found.unionByName(rows.withColumns({"end": F.col("start") + F.length("token"), "relabeled": no, "untagged": no, "report": F.lit(True)}), allowMissingColumns=True)
 
 
 def restore_report(found: DataFrame) -> DataFrame:

@@ -254,6 +254,25 @@ _add("restore_report", lambda s, d: restore.restore_report(_restored(s, d)[1]).s
 _add("key_conflicts", lambda s, d: restore.key_conflicts(_conflicting(s, d)).select("hex"), f"WITH {_IDS} SELECT DISTINCT hex_id AS hex FROM p WHERE doc_id % 2 = 0")
 
 
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """An answer of a model per customer: bare, in an object, fenced, within prose, empty, with a plain amount."""
+    item = F.to_json(F.array(F.struct(F.col("c_name").alias("text"), F.lit("PERSON").alias("type")), F.struct(F.col("c_mktsegment").alias("text"), F.lit("org").alias("type"))))
+    amount = F.to_json(F.array(F.struct(F.concat(F.lit("$"), F.col("c_custkey").cast("string")).alias("text"), F.lit("FINANCIAL").alias("type"))))
+    form = F.col("c_custkey") % 6
+    answer = (
+        F.when(form == 0, item).when(form == 1, F.concat(F.lit('{"found": '), item, F.lit(', "n": 2}'))).when(form == 2, F.concat(F.lit("Here:\n```json\n"), item, F.lit("\n```\nDone [1].")))
+        .when(form == 3, F.concat(F.lit("I found "), item, F.lit(" in all]."))).when(form == 4, amount).otherwise("[]")
+    )
+    return _table(s, d, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit(0).alias("chunk_no"), answer.alias("answer"))
+
+
+_add(
+    "model_answers", lambda s, d: detect.detect_answers(_answers(s, d)).select("doc_id", "value", "tag", "seq"),
+    "SELECT c_custkey::BIGINT AS doc_id, c_name AS value, 'PERSON' AS tag, 0::BIGINT AS seq FROM customer WHERE c_custkey % 6 < 4 "
+    "UNION ALL SELECT c_custkey::BIGINT, c_mktsegment, 'ORG', 1::BIGINT FROM customer WHERE c_custkey % 6 < 4",
+)
+
+
 def _conflicting(s: SparkSession, d: str) -> DataFrame:
     """Every second document's key, and one more in which its ids stand for something else."""
     keys = _keys(s, d)

@@ -179,3 +179,46 @@ def test_glued_ids_by_place(spark):
     found = spark.createDataFrame([(3, 0, 12, "x", True)], "doc_id long, start int, end int, original string, report boolean")
     index = spark.createDataFrame([("hex", "AB12CD34EF56")], "kind string, hex string")
     assert sorted((r.doc_id, r.start, r.token) for r in restore.glued(docs, found, index).collect()) == [(1, 3, "AB12CD34EF56"), (1, 22, "AB12CD34EF56")]
+
+
+def test_answers_of_a_model(spark):
+    from maskwright.functions.answers import answer_items, halves
+
+    one = '[{"text":"x]","type":"PERSON"}]'
+    cases = {
+        '[{"text":"x","type":"PERSON"}]': ["x"], 'Sure:\n```json\n[{"text":"y","type":"PERSON"}]\n```': ["y"], 'So: [{"text":"z","type":"EMAIL"}] then': ["z"], "[]": [], "{\"pii\": []}": [],
+        '{"a": [{"text":"q"}], "b": []}': ["q"], "": None, "none found": None, '[{"text":"x"': None, '[{"text":"a"}, {"text":"b"': None, "[1] and [{}]": [None], one: ["x]"], f"So {one}": None, '{"pii": [{"text":"w"}], "n": 1}': ["w"],
+        "[[1], 2": None, '```\n{"items": [{"text":"v"}]}\n```': ["v"],
+    }
+    docs = docs_of(spark, *cases)
+    got = {r.doc_id: r.items and [i.text for i in r.items] if r.items is not None else None for r in docs.select("doc_id", answer_items(F.col("text")).alias("items")).collect()}
+    assert got == dict(enumerate(cases.values()))
+    assert docs.filter("false").select(answer_items(F.lit(None).cast("string"))).count() == 0
+    short, lines, plain = "a" * 399, ("b" * 99 + "\n") * 10, "c" * 800
+    assert halves(short) is None and halves(plain) == ("c" * 480, "c" * 480)
+    first, second = halves(lines)
+    assert len(first) == 699 + 80 and len(second) == 1000 - 699 + 80 and lines.startswith(first) and lines.endswith(second)
+
+
+def test_a_long_answer_is_asked_in_halves(spark):
+    text = "w " * 150 + "Ann " + "w " * 150 + "Bob"
+
+    def model(part):
+        if len(part) > 500:
+            raise detect.Truncated
+        return [{"text": n, "type": "PERSON"} for n in ("Ann", "Bob") if n in part]
+
+    chunks = spark.createDataFrame([(1, 0, text)], "doc_id long, chunk_no int, text string")
+    assert {r.value for r in detect.detect_model(chunks, model).collect()} == {"Ann", "Bob"}
+    asked = iter([None, [{"text": "Ann", "type": "PERSON"}]])
+    assert detect._scan("Ann", lambda t: next(asked), 3, 0) == [{"text": "Ann", "type": "PERSON"}]
+
+
+def test_glued_ids_are_in_the_report(spark):
+    keys = spark.createDataFrame([(1, "a", "2024", {"Jane": "[PERSON_A1A1A1A1A1A1]"}, {"I0123456789ABCDEF": ("person", "Ann Lee", None)})], KEYS)
+    index = restore.build_index(keys)
+    docs = docs_of(spark, "xPERSON_A1A1A1A1A1A1A1A1A1A9F", "f70123456789abcdef7", "plain")
+    _, found = restore.restore(docs, index)
+    assert sorted((r.doc_id, r.start, r.token) for r in restore.glued(docs, found, index).collect()) == [(0, 8, "A1A1A1A1A1A1"), (1, 2, "0123456789abcdef")]
+    report = {r.doc_id: (r.unresolved_count, list(r.unresolved)) for r in restore.restore_report(restore.with_glued(docs, found, index)).collect()}
+    assert report == {0: (1, ["A1A1A1A1A1A1"]), 1: (1, ["0123456789abcdef"])}
