@@ -102,16 +102,29 @@ def tag_of(text: Column) -> Column:
     return F.regexp_extract(text, r"^\[?([A-Z]+)_[0-9A-F]+\]?\z", 1)
 
 
+# The named references of XML.
+XML_NAMES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
+
+
 def xml_escape(text: Column) -> Column:
-    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+    for raw, escaped in XML_NAMES:
         text = F.replace(text, F.lit(raw), F.lit(escaped))
     return text
 
 
 def xml_unescape(text: Column) -> Column:
-    for raw, escaped in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("&", "&amp;")):
-        text = F.replace(text, F.lit(escaped), F.lit(raw))
-    return text
+    """The five named references and numeric ones as characters, in one pass; others stay as they are."""
+
+    def read(part: Column) -> Column:
+        decimal, hexes = F.regexp_extract(part, r"^&#0*([0-9]{1,7});$", 1), F.regexp_extract(part, r"^&#[xX]0*([0-9A-Fa-f]{1,6});$", 1)
+        code = F.when(decimal != "", decimal.cast("int")).when(hexes != "", F.conv(hexes, 16, 10).cast("int"))
+        is_char = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        out = F.when(is_char, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for raw, escaped in XML_NAMES:
+            out = out.when(part == escaped, F.lit(raw))
+        return out.otherwise(part)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"&#?\w+;|[^&]+|&"), F.lit(0)), read), "")
 
 
 def utc_stamp(time: Column) -> Column:

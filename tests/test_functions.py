@@ -54,3 +54,5 @@ def test_tags(spark):
 
 def test_escape_round_trip(spark):
     assert values(spark, ["<a & \"b\" 'c'>"], lambda c: T.xml_unescape(T.xml_escape(c))) == ["<a & \"b\" 'c'>"]
+    references = ["Jos&#233; &#xE9;&#X1F600;", "&amp;lt; &#0038;lt;", "&#xD800; &#0; &#1114112; &nbsp; a & b;", "", None]
+    assert values(spark, references, T.xml_unescape) == ["José é😀", "&lt; &lt;", references[2], "", None]
