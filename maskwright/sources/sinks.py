@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_valid_id
@@ -36,3 +36,22 @@ def output_name(name, session_id):
     """The name of a restored file: a former ``_anon_<session>`` goes, ``_restored`` comes."""
     stem = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"_anon_[0-9a-f]{8}(?: \(\d+\))?$", "")
     return F.concat(stem, F.lit("_restored"), F.regexp_extract(name, r"(\.[^.]*)$", 1))
+
+
+def free_names(names: DataFrame, taken: DataFrame) -> DataFrame:
+    """``names`` (doc_id, name) with ``free``, the name to write to: none is in ``taken`` (name), and none comes twice.
+
+    The first document of a name that isn't taken keeps it; others get the next number
+    that is free, as ``list_1.csv``.
+    """
+    split = lambda part: F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", part)
+    numbered = r"^(.+)_([1-9][0-9]{0,8})(\.[^.]*)?$"
+    own = names.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("doc_id")))
+    rows = own.join(taken.select("name", F.lit(True).alias("gone")).distinct(), "name", "left").withColumn("kept", (F.col("k") == 1) & F.col("gone").isNull())
+    used = taken.select("name").unionByName(rows.filter("kept").select("name")).filter(F.col("name").rlike(numbered))
+    part = lambda g: F.regexp_extract("name", numbered, g)
+    used = used.groupBy(part(1).alias("stem"), part(3).alias("suffix")).agg(F.array_sort(F.collect_set(part(2).cast("int"))).alias("used"))
+    rows = rows.withColumns({"stem": split(1), "suffix": split(2), "m": F.col("k") - F.when(F.col("gone").isNull(), 1).otherwise(0)}).join(used, ["stem", "suffix"], "left")
+    number = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("m"), lambda i, u: F.when(u <= i, i + 1).otherwise(i))
+    free = F.when(F.col("kept"), F.col("name")).otherwise(F.concat("stem", F.lit("_"), number.cast("string"), "suffix"))
+    return rows.select(*names.columns, free.alias("free"))

@@ -105,3 +105,11 @@ def test_a_blank_line_keeps_its_row_number(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"Name,Phone\n\nAnn,1\n")
     found = files.cells(files.read_files(spark, str(tmp_path))).collect()
     assert sorted((r.row, r.col, r.value) for r in found) == [(0, 0, "Name"), (0, 1, "Phone"), (1, 0, ""), (2, 0, "Ann"), (2, 1, "1")]
+
+
+def test_no_name_is_written_twice(spark):
+    names = spark.createDataFrame([(1, "a.csv"), (2, "a.csv"), (3, "a.csv"), (4, "a_1.csv"), (5, "b"), (6, "c.csv"), (7, "a_1.csv")], "doc_id long, name string")
+    taken = spark.createDataFrame([("b",), ("b_1",), ("b_3",), ("a_3.csv",), ("a_3.txt",)], "name string")
+    free = {r.doc_id: r.free for r in sinks.free_names(names, taken).collect()}
+    assert free == {1: "a.csv", 2: "a_2.csv", 3: "a_4.csv", 4: "a_1.csv", 5: "b_2", 6: "c.csv", 7: "a_1_1.csv"}
+    assert sinks.free_names(names.filter("false"), taken).count() == 0
