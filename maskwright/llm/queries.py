@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import decontamination, exact_dedup, licenses, minhash, packing, quality, substring_dedup, toxicity, urls, warc
+from maskwright.llm import conversations, decontamination, exact_dedup, lexical, licenses, minhash, ngram_rules, packing, quality, substring_dedup, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_lexical_search": lexical.op11_lexical_search,
+    "op12_quality_rules": ngram_rules.op12_quality_rules,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": urls.OP5_SQL,
     "op8_license_scan": licenses.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
+    "op13_conversation_repair": conversations.OP13_SQL,
 }

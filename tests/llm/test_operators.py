@@ -16,7 +16,7 @@ from maskwright.llm.common import Words, ngrams, scratch_path
 from maskwright.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels conversations".split()
 
 
 def rows(frame, columns):
