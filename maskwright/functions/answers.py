@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ITEMS = "array<struct<text:string,type:string,linked_to:string>>"
-# A fenced block, and how a text is halved.
+# Fixed value: a fenced block.
 FENCE = r"(?s)```(?:json)?\s*(.*?)```"
+# Characters of the shortest text that is halved, and how far each half goes beyond the cut.
 LEAST_SPLIT, SPLIT_OVERLAP = 400, 80
 
 
@@ -50,13 +53,14 @@ def answer_items(raw: Column) -> Column:
 def halves(text: str) -> tuple[str, str] | None:
     """Two overlapping halves of a text whose answer had no room; None for a short one.
 
-    The cut is the last line end before three quarters, if behind a quarter, else the
-    last space before the middle, else the middle.
+    All line ends and spaces are candidates.  The cut is the last line end within the
+    middle half of the text, else the last space of its first half, else its middle.
     """
     size = len(text)
     if size < LEAST_SPLIT:
         return None
-    middle = size // 2
-    places = [(text.rfind("\n", 0, middle + middle // 2), size // 4), (text.rfind(" ", 0, middle), 0), (middle, 0)]
-    cut = next(at for at, least in places if at > least)
+    breaks = [(m[0], m.start()) for m in re.finditer("[\n ]", text)]
+    lines = [at for sign, at in breaks if sign == "\n" and size // 4 < at < size // 2 + size // 4]
+    spaces = [at for sign, at in breaks if sign == " " and 0 < at < size // 2]
+    cut = max(lines or spaces or [size // 2])
     return text[: cut + SPLIT_OVERLAP], text[max(0, cut - SPLIT_OVERLAP) :]

@@ -18,6 +18,27 @@ STANDARD = 11
 #: Tags of which a bare number can be a value.
 NUMERIC_TAGS = ["SID", "GRADE"]
 
+#: What a model is told about each tag.
+HELP = {
+    "PERSON": "name of a person",
+    "EMAIL": "email address",
+    "PHONE": "telephone number, with its extension",
+    "ADDRESS": "where somebody lives: street, unit, town, region, postcode",
+    "ID": "number that a state issues to a person or firm: tax, social security, passport",
+    "ORG": "name of a firm, school, church or charity",
+    "FINANCIAL": "number of an account, a bank or a card",
+    "DOB": "date of birth",
+    "SID": "number of a student, an employee or a badge",
+    "IP": "internet address",
+    "USERNAME": "login or handle",
+    "GRADE": "one person's mark, average or test result",
+    "MEDICAL": "illness, treatment, medicine or support plan of a person",
+    "IMMIGRATION": "visa or citizenship of a person",
+    "DEMO": "ethnic origin of a person",
+    "RELIGION": "faith of a person",
+    "GENDER": "gender or pronouns of a named person",
+}
+
 # Suffix, output suffix, note.
 FORMATS = [
     ("pdf", ".txt", "text only"),

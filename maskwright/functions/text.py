@@ -90,8 +90,8 @@ def chunks(text: Column, tokens: int, overlap: int) -> Column:
 
 
 def without_placeholders(text: Column) -> Column:
-    """Every placeholder as a line break, so nothing joins across it."""
-    return F.regexp_replace(text, r"\[[A-Z]+_[0-9A-F]{4,12}\]|\b[A-Z]+_[0-9A-F]{12}\b", "\n")
+    """Every placeholder, of 12 digits or the 4 of old keys, as a line break, so nothing joins across it."""
+    return F.regexp_replace(text, r"\[[A-Z]+_(?:[0-9A-F]{12}|[0-9A-F]{4})\]|\b[A-Z]+_[0-9A-F]{12}\b", "\n")
 
 
 def placeholder(tag: Column, hex_id: Column) -> Column:
@@ -112,15 +112,19 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
-def xml_unescape(text: Column) -> Column:
-    """The five named references and numeric ones as characters, in one pass; others stay as they are."""
+def xml_unescape(text: Column, not_ascii_only: bool = False) -> Column:
+    """The five named references and numeric ones as characters, in one pass; others stay as they are.
+
+    With ``not_ascii_only`` the numeric ones of characters beyond ASCII alone: in raw
+    markup the others can carry meaning.
+    """
 
     def read(part: Column) -> Column:
         decimal, hexes = F.regexp_extract(part, r"^&#0*([0-9]{1,7});$", 1), F.regexp_extract(part, r"^&#[xX]0*([0-9A-Fa-f]{1,6});$", 1)
         code = F.when(decimal != "", decimal.cast("int")).when(hexes != "", F.conv(hexes, 16, 10).cast("int"))
-        is_char = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        is_char = code.between(0x80 if not_ascii_only else 1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         out = F.when(is_char, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        for raw, escaped in XML_NAMES:
+        for raw, escaped in () if not_ascii_only else XML_NAMES:
             out = out.when(part == escaped, F.lit(raw))
         return out.otherwise(part)
 

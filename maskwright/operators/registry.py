@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_valid_id, placeholder
@@ -24,6 +24,12 @@ def first_wins(hits: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("value").alias("original"), F.col("first.tag").alias("tag"), "types", at.alias("seq"), F.col("link.linked_to").alias("linked_to"))
 
 
+def candidates(secret: str) -> Column:
+    """The well-formed ids that a row's ``original`` in its ``doc_id`` may get, in the order they are tried."""
+    attempt = lambda i: F.upper(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(secret), F.col("doc_id").cast("string"), i.cast("string"), F.col("original")), 256), 1, 12))
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), attempt), is_valid_id)
+
+
 def with_ids(registry: DataFrame, secret: str, reserved: DataFrame | None = None) -> DataFrame:
     """Adds hex_id and placeholder.
 
@@ -33,9 +39,7 @@ def with_ids(registry: DataFrame, secret: str, reserved: DataFrame | None = None
     issued twice.  ``secret`` must be random per run but in tests: names and numbers
     are guessable.
     """
-    attempt = lambda i: F.upper(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(secret), F.col("doc_id").cast("string"), i.cast("string"), F.col("original")), 256), 1, 12))
-    tries = F.filter(F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), attempt), is_valid_id)
-    rows = registry.withColumn("tries", tries)
+    rows = registry.withColumn("tries", candidates(secret))
     if reserved is not None:
         each = rows.select("doc_id", "original", F.posexplode("tries").alias("k", "hex_id")).join(reserved.select("hex_id").distinct(), "hex_id", "left_anti")
         free = each.groupBy("doc_id", "original").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "hex_id"))), lambda x: x["hex_id"]).alias("tries"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import canonical_hash, strip
+from maskwright.operators.matcher import document_occurrences
 from maskwright.sources.scratch import written
 
 CANDIDATE = "struct<community_id:string,sheet_ref:string,given_name:string,family_name:string,display_name:string,confidence:double>"
@@ -186,11 +187,12 @@ def certain_names(plans: DataFrame, sheets: DataFrame, cells: DataFrame) -> Data
     homes = _with_row(plan_rows(plans).filter("r.family.cell.col is not null"), sheets, F.col("r.index")).select("doc_id", "sheet", "row", F.col("r.family.cell.col").alias("col"))
     in_cells = parts.unionByName(homes).join(cells, ["doc_id", "sheet", "row", "col"]).select("doc_id", F.col("value").alias("v"))
     named = people.withColumn("c", name_cell("p")).filter("c is not null").select("doc_id", "sheet", "row", F.col("c.col").alias("col")).unionByName(homes).distinct()
+    # each document's text travels once for all its full names, and once, without the cells that hold names, for their parts
     text = lambda rows: rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("text"))
-    full = people.select("doc_id", _full_name("p").alias("v")).filter("v like '% %'").distinct().join(text(cells), "doc_id").filter(F.col("text").contains(F.col("v"))).select("doc_id", "v")
+    looked = lambda texts, names, whole: document_occurrences(texts, names.select("doc_id", F.col("v").alias("value"), F.lit("PERSON").alias("tag")), whole).select("doc_id", F.col("value").alias("v")).distinct()
+    full = looked(text(cells), people.select("doc_id", _full_name("p").alias("v")).filter("v like '% %'").distinct(), False)
     each = people.select("doc_id", F.explode(F.array("p.given_name", "p.family_name")).alias("v")).select("doc_id", strip(F.col("v")).alias("v")).filter("v <> ''").distinct()
-    others = text(cells.join(named, ["doc_id", "sheet", "row", "col"], "left_anti"))
-    words = each.join(others, "doc_id").filter(r"regexp_like(text, concat('(?U)(?<!\\w)\\Q', replace(v, '\\E', ''), '\\E(?!\\w)'))").select("doc_id", "v")
+    words = looked(text(cells.join(named, ["doc_id", "sheet", "row", "col"], "left_anti")), each, True)
     found = in_cells.unionByName(full).unionByName(words).select("doc_id", strip(F.col("v")).alias("value")).distinct()
     return found.filter((F.length("value") >= 2) & F.col("value").rlike(r"\p{L}")).select("doc_id", "value", F.lit("PERSON").alias("tag"), F.lit(4).alias("source"), F.lit(0).cast("long").alias("seq"))
 
@@ -253,6 +255,14 @@ def identity_overrides(results: DataFrame, sheets: DataFrame, cells: DataFrame)
     return names.unionByName(homes.filter(own).select(*at, F.col("value").alias("expected"), "new")), homes.filter(~own).select("doc_id", "sheet", "row", F.col("new").alias("value"))
 
 
+def cells_left_alone(results: DataFrame) -> DataFrame:
+    """doc_id and the number of name cells that keep their text because somebody in them has no id: doc_id, cells."""
+    people = persons(results).withColumn("c", name_cell("p")).filter("c is not null")
+    none = F.col("p.community_id").isNull() | (F.coalesce("p.action", F.lit("")) == "skip")
+    by_cell = people.groupBy("doc_id", "place", "index", F.col("c.col").alias("col")).agg(F.bool_or(none).alias("alone"))
+    return by_cell.groupBy("doc_id").agg(F.count_if("alone").alias("cells"))
+
+
 def commit_key(requests: DataFrame) -> DataFrame:
     """Requests with the idempotency key of their content: equal ones share it whenever they are sent."""
     return requests.withColumn("idempotency_key", canonical_hash(*(F.col(c) for c in sorted(requests.columns))))
@@ -264,7 +274,8 @@ def commit_once(requests: DataFrame, ledger: DataFrame, send: Callable[[DataFram
     A request whose key has an outcome in the ledger (idempotency_key, outcome) isn't
     sent again.  While an outcome is ``unknown``, its document (``doc_id``, if both
     tables have it) is frozen: the same request is sent again under the same key, any
-    other for the document gets the outcome ``frozen`` unsent.  So does the same request
+    other for the document gets the outcome ``frozen`` unsent, as all but one of several
+    new requests of a document do.  So does the same request
     if it was first sent under another ``scope`` (a column of the ledger, if there), as
     the receiver wouldn't know the key again.  Outcomes are written before they are
     returned, so reading them twice sends nothing twice.
@@ -281,6 +292,10 @@ def commit_once(requests: DataFrame, ledger: DataFrame, send: Callable[[DataFram
         left = left.join(open_.select("doc_id", F.lit(True).alias("waits")).distinct(), "doc_id", "left")
         held = held | (F.col("foreign").isNull() & F.coalesce("waits", F.lit(False)))
     left = left.withColumn("held", held)
+    if "doc_id" in requests.columns:
+        # of several new requests of a document one is sent
+        own = F.row_number().over(Window.partitionBy("doc_id", "held").orderBy("idempotency_key"))
+        left = left.withColumn("held", F.col("held") | (F.col("doc_id").isNotNull() & (own > 1)))
     sent = written(send(left.filter("not held").select(keyed.columns)), "outcomes")
     frozen = left.filter("held").select("idempotency_key", F.lit("frozen").alias("outcome"))
     return sent.unionByName(frozen, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)

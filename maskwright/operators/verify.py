@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.operators.detect import residue
-from maskwright.operators.matcher import Matcher, placeholders, with_own_map
+from maskwright.operators.matcher import Matcher, document_occurrences, placeholders, with_own_map
 
 
 def surviving(outputs: DataFrame, registry: DataFrame) -> DataFrame:
@@ -51,7 +51,9 @@ def passed_only(outputs: DataFrame, result: DataFrame) -> DataFrame:
 
 
 def residual_names(outputs: DataFrame, names: DataFrame) -> DataFrame:
-    """Names (doc_id, name) that still stand as whole words: doc_id, name, matches."""
-    near = outputs.join(names.select("doc_id", "name").distinct(), "doc_id").filter(F.col("text").contains(F.col("name")))
-    whole = F.expr(r"regexp_count(text, concat('(?U)(?<!\\w)\\Q', replace(name, '\\E', ''), '\\E(?!\\w)'))")
-    return near.select("doc_id", "name", whole.alias("matches")).filter("matches > 0")
+    """Names (doc_id, name) that still stand as whole words: doc_id, name, matches.
+
+    A text travels once, with all its names, which one automaton finds.
+    """
+    found = document_occurrences(outputs, names.select("doc_id", F.col("name").alias("value"), F.lit("PERSON").alias("tag")).filter("value <> ''"), whole=True)
+    return found.groupBy("doc_id", F.col("value").alias("name")).agg(F.count("*").cast("int").alias("matches"))

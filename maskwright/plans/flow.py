@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.tags import TAGS
 from maskwright.operators import detect, registry
-from maskwright.operators.matcher import scrub
+from maskwright.operators.matcher import chosen_spans, scrub
 from maskwright.operators.verify import verify
+from maskwright.sources.scratch import written
 
 
 class Result(NamedTuple):
@@ -22,18 +23,23 @@ class Result(NamedTuple):
 
 
 def register(docs: DataFrame, tags: Iterable[str] = TAGS, terms: DataFrame | None = None, cells: DataFrame | None = None, model_hits: DataFrame | None = None, certain: DataFrame | None = None) -> DataFrame:
-    """The registry of all detectors by precedence, stretches of overlap included, without ids."""
+    """The registry of all detectors by precedence, stretches of overlap included, without ids.
+
+    Hits are written once, so each detector runs once and a model is asked once a chunk.
+    """
     parts = [detect.detect_patterns(docs, tags)]
     if model_hits is not None:
         parts.append(model_hits)
     if terms is not None:
         parts.append(detect.detect_terms(docs, terms))
-    if cells is not None:
-        known = registry.first_wins(detect.union_hits(parts)).select("doc_id", F.col("original").alias("value"), "tag")
-        parts.append(detect.detect_consensus(cells, known))
     if certain is not None:
         parts.append(certain)
-    found = detect.union_hits(parts)
+    # what follows reads the hits more than once, and a detector must run once
+    found = written(detect.union_hits(parts), "hits")
+    if cells is not None:
+        roster = F.col("source") == detect.SOURCES.index("roster")
+        known = registry.first_wins(found.filter(~roster)).select("doc_id", F.col("original").alias("value"), "tag")
+        found = detect.union_hits([found, written(detect.detect_consensus(cells, known), "hits")])
     values = registry.first_wins(found).select("doc_id", F.col("original").alias("value"), "tag")
     return registry.first_wins(detect.union_hits([found, detect.overlap_unions(values, docs)]))
 
@@ -54,3 +60,25 @@ def preview(docs: DataFrame, rows: DataFrame, most: int = 10_000) -> DataFrame:
     """doc_id, the first characters of a text with its values replaced, and the number of values."""
     shown = docs.withColumn("text", F.substring("text", 1, most))
     return scrub(shown, rows).select("doc_id", "text", F.col("replaced").alias("spans"))
+
+
+def preview_spans(docs: DataFrame, rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """The places in the first characters of each text that would be replaced: doc_id, start, end, original, placeholder."""
+    found = chosen_spans(docs.select("doc_id", F.substring("text", 1, most).alias("text")), rows)
+    return found.join(rows.select("doc_id", "original", "placeholder").dropDuplicates(["doc_id", "original"]), ["doc_id", "original"]).select("doc_id", "start", "end", "original", "placeholder")
+
+
+def preview_counts(docs: DataFrame, rows: DataFrame, amounts: DataFrame | None = None) -> DataFrame:
+    """What a preview says of each document: doc_id, char_count, truncated, counts by tag, entities, replacements, kept_amounts.
+
+    ``amounts`` (doc_id, value) are the plain amounts that detectors left alone.
+    """
+    per = rows.groupBy("doc_id", "tag").agg(F.count("*").alias("n"), F.collect_set("hex_id").alias("ids"))
+    counts = per.groupBy("doc_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("counts"), F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).cast("long").alias("entities"), F.sum("n").alias("replacements"),
+    )
+    size = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    out = docs.select("doc_id", size.alias("char_count"), (size > 10_000).alias("truncated")).join(counts, "doc_id", "left")
+    kept = amounts.groupBy("doc_id").agg(F.count_distinct("value").alias("kept_amounts")) if amounts is not None else docs.select("doc_id", F.lit(0).cast("long").alias("kept_amounts")).limit(0)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.join(kept, "doc_id", "left").select("doc_id", "char_count", "truncated", F.coalesce("counts", F.expr("cast(map() as map<string,bigint>)")).alias("counts"), zero("entities"), zero("replacements"), zero("kept_amounts"))

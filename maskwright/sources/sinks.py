@@ -14,12 +14,25 @@ def write_texts(outputs: DataFrame, result: DataFrame, path: str) -> None:
     passed_only(outputs, result).write.mode("append").parquet(path)
 
 
+def csv_lines(cells: DataFrame) -> DataFrame:
+    """The rows of tables as CSV: doc_id, sheet, row, line; quoted where needed, ragged rows kept."""
+    quoted = F.when(F.col("value").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace("value", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce("value", F.lit("")))
+    rows = cells.groupBy("doc_id", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", quoted.alias("v")))).alias("c"))
+    return rows.select("doc_id", "sheet", "row", F.array_join(F.transform("c", lambda x: x["v"]), ",").alias("line"))
+
+
 def write_cells(cells: DataFrame, result: DataFrame, path: str) -> None:
-    """The rows of verified tables as CSV lines by document: quoted where needed, ragged rows kept."""
-    quoted = F.when(F.col("value").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace("value", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("value"))
-    rows = passed_only(cells, result).groupBy("doc_id", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", quoted.alias("v")))).alias("c"))
-    lines = rows.select("doc_id", "sheet", "row", F.array_join(F.transform("c", lambda x: x["v"]), ",").alias("line"))
-    lines.sortWithinPartitions("doc_id", "sheet", "row").write.mode("append").parquet(path)
+    """The rows of verified tables as CSV lines by document."""
+    csv_lines(passed_only(cells, result)).sortWithinPartitions("doc_id", "sheet", "row").write.mode("append").parquet(path)
+
+
+def write_csv(cells: DataFrame, result: DataFrame, path: str) -> None:
+    """Verified tables as CSV files, one for each sheet, in ``doc_id=.../sheet=...`` below ``path``; any reader of CSV opens them.
+
+    A sheet is written by one task, in order, a row at a time.
+    """
+    lines = csv_lines(passed_only(cells, result)).repartition("doc_id", "sheet").sortWithinPartitions("doc_id", "sheet", "row")
+    lines.select("doc_id", "sheet", "line").write.mode("append").partitionBy("doc_id", "sheet").text(path)
 
 
 def write_keys(keys: DataFrame, path: str) -> None:
