@@ -66,8 +66,8 @@ def _attempt(i: str) -> str:
     return f"upper(substr(sha256('{SECRET}' || chr(31) || doc_id || chr(31) || {i} || chr(31) || original), 1, 12))"
 
 
-_VALID = "regexp_full_match({x}, '[0-9A-F]{{12}}') AND regexp_matches({x}, '[0-9]') AND regexp_matches({x}, '[A-F]') AND NOT regexp_full_match({x}, '\\d+E\\d+')"
-_IDS = f"{_REGISTRY}, i AS (SELECT *, list_filter(list_transform(range(12), lambda k: {_attempt('k')}), lambda x: {_VALID.format(x='x')})[1] AS hex_id FROM r), p AS (SELECT *, '[' || tag || '_' || hex_id || ']' AS placeholder FROM i)"
+VALID_ID = "regexp_full_match({x}, '[0-9A-F]{{12}}') AND regexp_matches({x}, '[0-9]') AND regexp_matches({x}, '[A-F]') AND NOT regexp_full_match({x}, '\\d+E\\d+')"
+_IDS = f"{_REGISTRY}, i AS (SELECT *, list_filter(list_transform(range(12), lambda k: {_attempt('k')}), lambda x: {VALID_ID.format(x='x')})[1] AS hex_id FROM r), p AS (SELECT *, '[' || tag || '_' || hex_id || ']' AS placeholder FROM i)"
 
 
 # --- detectors and the registry --------------------------------------------------

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -121,14 +122,26 @@ def step(status: str, reason: str, decisions: dict, items: list[dict], kind: str
     return *same, False, True
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, new streams of this session keep their state in RocksDB, as ``plan_states`` needs it."""
+    name, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def plan_states(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The state of each document after each of its events (a stream or a table of EVENTS): OUTPUT.
+    """The state of each document after each of its events (a stream of EVENTS): OUTPUT.
 
     ``ask`` says that a plan is to be requested, with ``decisions``; ``refused`` that the
     event changed nothing; ``pending`` counts the items to review without a decision.
     Events of one batch are taken in order of time.  After IDLE_HOURS of event time
     without an event a document is forgotten, but never while an answer is awaited.
-    Streams need the RocksDB state store.
+    The stream must start within ``state_store``.
     """
     keyed = events.select(F.col("doc_id").cast("string").alias("doc_id"), "at", "kind", "payload").withWatermark("at", delay).groupBy("doc_id")
     return keyed.transformWithStateInPandas(PlanStates(), OUTPUT, "Append", "EventTime")

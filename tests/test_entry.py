@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from maskwright.plans import queries as core
+from maskwright.plans import table_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

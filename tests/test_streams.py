@@ -121,7 +121,6 @@ def test_steps_of_a_plan():
 
 
 def test_states_of_a_stream(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ready = ("plan", {"items": ITEMS, "people": 1})
     first = events(UP, ("plan", {"error": "no answer"}), ("retry", {}), ready)
     rest = [("d", f"2024-01-01 01:{i:02d}:00", k, json.dumps(a)) for i, (k, a) in enumerate([DECIDE, ("sent", {}), ("retry", {}), ("outcome", {"committed": True})])]
@@ -129,9 +128,9 @@ def test_states_of_a_stream(spark, tmp_path):
     for rows in (first, rest, late, [("e", "2024-01-01 18:00:00", "plan", json.dumps({"people": 0}))], [("g", "2024-01-01 18:30:00", "retry", "{}")]):
         spark.createDataFrame(rows, "doc_id string, at string, kind string, payload string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     source = spark.readStream.schema("doc_id string, at string, kind string, payload string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withColumn("at", F.to_timestamp("at"))
-    query = plans.plan_states(source).writeStream.format("memory").queryName("plan_states").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(240)
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with plans.state_store(spark):
+        query = plans.plan_states(source).writeStream.format("memory").queryName("plan_states").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(240)
     got = spark.sql("select * from plan_states").collect()
     of = lambda d: [(r.kind, r.status, r.refused) for r in sorted((r for r in got if r.doc_id == d), key=lambda r: r["at"])]
     assert of("d") == [
