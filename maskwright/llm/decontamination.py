@@ -109,27 +109,27 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SCORE,
     A copy in which no ``words`` words in a row are left isn't looked for.  An item of
     fewer words than a seed is found in documents of the same words alone.  Null or
     empty texts and items, and rows with null ids, match nothing; rows that repeat an
-    id are one document where their texts are equal; of passages that tie the first
-    counts.  Empty tables give no rows.  Other columns aren't read.
+    id are one document where their texts are equal; items that repeat an id are looked
+    for each, and the best one counts; of passages that tie the first does.  Empty tables give no rows.  Other columns aren't read.
 
     The items are sent to the tasks while their words number at most
     BROADCAST_ROWS; a larger set is worked off in as many parts by item.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null").dropDuplicates(["item_id"])
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null").distinct()
     total = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     parts = max(1, -(-total // BROADCAST_ROWS))
     out = None
     for part in range(parts):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part
+        mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part
         one = _contaminated(docs, items.filter(mine), least, words)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def _contaminated(docs: DataFrame, items: DataFrame, least: float, words: int) -> DataFrame:
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").filter("text is not null").orderBy("item_id").collect()]  # at most about BROADCAST_ROWS words
+    rows = [(r[0], r[1]) for r in items.select("item_id", "text").filter("text is not null").orderBy("item_id", "text").collect()]  # at most about BROADCAST_ROWS words
     shared = docs.sparkSession.sparkContext.broadcast(Index(rows, words))
     names = [x.split()[0] for x in ALIGNED.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
