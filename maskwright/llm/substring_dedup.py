@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Words, mix, ngrams, signed, slices, small_batches, table, written
+from maskwright.llm.common import REPEATED, ROW, Words, maybe_broadcast, mix, ngrams, signed, slices, small_batches, table, with_row_ids, written
 from maskwright.llm.minhash import band_keys, cluster, least_linked, minima, packed
 
 #: Words of a line that counts as a paragraph, and of a repeated passage.
@@ -245,7 +245,7 @@ def repeated_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per repeated paragraph: doc_id, unit, at, words, class_id, kept.
+    """A row per repeated paragraph: doc_id, unit, at, words, class_id, kept, row_key.
 
     ``unit`` is ``line`` (``at``: its number in the text, from 0) or ``passage``
     (``at``: its first word).  ``class_id`` is the smallest document of its class, of
@@ -254,15 +254,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts.  A stretch of PASSAGE_WORDS repeated words has a row for each part that is not
     kept, maybe a shorter one, and for each kept part of as many words.  What repeats within one
     document alone is reported too: its first place is kept.  Null and empty texts have no paragraphs; rows
-    with a null id take no part; rows that repeat an id are one document.  An empty
-    table gives no rows.  Other columns aren't read.
+    with a null id take no part.  Rows of one id with different texts are documents of
+    their own: ``row_key``, by which ``class_id`` names them too, is the id for one of
+    them and a hash of id and text for the others; rows equal in both are one document.
+    An empty table gives no rows.  Other columns aren't read.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    rows = with_row_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null"))
+    docs = rows.select(F.col(ROW).alias("doc_id"), "text")
     named = lambda df, unit: df.select("doc_id", F.lit(unit).alias("unit"), "at", "words", "class_id", "kept")
     found = written(paragraphs(docs), "paragraphs")
     passages = repeated_passages(docs, found=found.filter("key is not null").select("doc_id", "begin", "size", "key"))
-    return named(repeated_lines(docs, found), "line").unionByName(named(passages, "passage"))
+    out = named(repeated_lines(docs, found), "line").unionByName(named(passages, "passage")).withColumnRenamed("doc_id", "row_key")
+    # only rows of a repeated id have another key than their id
+    other = written(rows.filter(F.col(REPEATED) & (F.col(ROW) != F.col("doc_id"))).select(F.col(ROW).alias("row_key"), "doc_id").distinct(), "row-keys")
+    out = out.join(maybe_broadcast(other, other.count()), "row_key", "left")
+    return out.select(F.coalesce("doc_id", "row_key").alias("doc_id"), "unit", "at", "words", "class_id", "kept", "row_key")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
