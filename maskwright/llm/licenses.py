@@ -24,6 +24,9 @@ _NOT_WORDS, _BREAKS = r"[^\p{L}\p{N}\n]+", r" ?\n[ \n]*"
 #: Notices of ownership: the word alone, as in "copyright holders be liable", doesn't make one.
 _COPYRIGHT = r"(?m)^(?:copyright (?:copyright|c|by|yyyy|year|[0-9]{4})|c [0-9]{4}|all rights reserved)(?: .*)?$"
 
+#: What may stand above a licence's own words: its name, and owners without a year.
+_HEADINGS = r"\A\n*(?:(?:(?:the )?(?:mit|expat|isc|zlib|(?:new |simplified |modified )?bsd(?: [23] clause)?)(?: [23] clause)? license(?: (?:mit|isc|zlib|bsd))?|copyright(?: [^\n]*)?|all rights reserved(?: [^\n]*)?)\n+)+"
+
 
 def normal_lines(text: Column) -> Column:
     """The normalised text, a line for each line that has words, without copyright lines."""
@@ -35,8 +38,8 @@ def normal_lines(text: Column) -> Column:
 
 
 def whole(lines: Column) -> Column:
-    """The normalised lines as one line."""
-    return F.trim(F.regexp_replace(lines, r"\n+", " "))
+    """The normalised lines, without headings above the first other one, as one line."""
+    return F.trim(F.regexp_replace(F.regexp_replace(lines, _HEADINGS, ""), r"\n+", " "))
 
 
 def known_digests(spark: SparkSession, notices: Mapping[str, Sequence[str]] = NOTICES) -> DataFrame:
@@ -56,7 +59,8 @@ def digests_of(texts: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, notices: Mapping[str, Sequence[str]] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, unit (text or line), license and the number of units, for what is known.
 
-    A document whose whole text is one known notice has a row of either unit.  Null
+    A document whose whole text is one known notice has a row of either unit.  The name
+    of the licence and owners above its first words make no difference to a whole text.  Null
     and empty texts, and those of copyright lines alone, match nothing.  Rows that
     repeat an id add up; a null id is a group of its own.  Two names of one text give a
     row each.  An empty table gives no rows.  Other columns aren't read.  A known text
@@ -81,7 +85,7 @@ def oracle(notices: Mapping[str, Sequence[str]] = NOTICES) -> str:
             x = f"replace({x}, '{a}', '{b}')"
         return f"regexp_replace({x}, '{_COPYRIGHT}', '', 'g')"
 
-    one = lambda x: f"trim(regexp_replace({x}, '\\n+', ' ', 'g'))"
+    one = lambda x: f"trim(regexp_replace(regexp_replace({x}, '{_HEADINGS}', ''), '\\n+', ' ', 'g'))"
     quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, texts in notices.items() for t in texts)
     entire = ", ".join(f"('{n}', '{d}')" for n, d in DIGESTS.items())
     return f"""

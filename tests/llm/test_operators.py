@@ -430,6 +430,58 @@ def test_entire_licences_and_rewrapped_ones(spark):
     assert got == {i: name for i, name in enumerate(names) if name}
 
 
+def test_licences_under_any_heading(spark):
+    mit = next(t for t in licenses.NOTICES["MIT"] if t.startswith("MIT License"))
+    body = mit.partition("\n")[2].lstrip()
+    heads = ["MIT License\n\nCopyright Jane Doe\n\n", "The MIT License (MIT)\n\nCopyright (c) 2020 Jane\n\n", "", "Copyright Jane Doe <j@x.org>\nAll rights reserved.\n", "Copyright 2020 A\nThe MIT License\nCopyright B\n"]
+    texts = [h + body for h in heads] + ["Copyright Jane Doe\nsome other words\nand more"]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.unit == "text"}
+    assert got == dict.fromkeys(range(len(heads)), "MIT")
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    fill = lambda n: [word() for _ in range(n)]
+    part, unique = fill(60), fill(120)
+    texts = [(1, [*part, *fill(40)]), (5, [*fill(60), *part, *fill(20)]), (5, unique), (5, unique), (6, fill(90))]
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts], "doc_id long, text string")
+    found = substring_dedup.substring_dedup(docs).collect()
+    assert {(r.doc_id, r.kept) for r in found} == {(1, True), (5, False)} and len({r.row_key for r in found if r.doc_id == 5}) == 1
+    (gone,) = [r for r in found if not r.kept]
+    # only what stands in document 1 too is removable
+    assert gone.at >= 60 and gone.at + gone.words <= 120 and gone.words >= 30
+
+
+def test_items_that_repeat_an_id_are_both_found(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    one, two = [" ".join(word() for _ in range(25)) for _ in range(2)]
+    docs = spark.createDataFrame([(1, f"x y {one} z"), (2, f"{two} w"), (3, " ".join(word() for _ in range(80)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, one), (7, two), (7, two), (8, one)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(1, 7): 1.0, (1, 8): 1.0, (2, 7): 1.0}
+
+
+def test_recall_against_every_alignment(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    head = [word() for _ in range(10)]
+    items = [[*head, *(word() for _ in range(20))] if i % 3 == 0 else [word() for _ in range(rng.randint(12, 40))] for i in range(30)]
+    docs = []
+    for _ in range(120):
+        w = list(rng.choice(items))
+        for _ in range(rng.randint(0, len(w) // 2)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [word()], [word(), w[k]]])
+            w = w or [word()]
+        docs.append([*(word() for _ in range(rng.randint(0, 30))), *w, *(word() for _ in range(rng.randint(0, 30)))])
+    want = {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if smith_waterman(item, text) >= len(item)}
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got <= want and len(want) > 80 and len(got) >= 0.9 * len(want)
+
+
 def test_cuckoo_shard_against_a_dict():
     rng = random.Random(8)
     shard, live = exact_dedup.CuckooShard(4), {}
