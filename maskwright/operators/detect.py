@@ -49,6 +49,7 @@ def _hits(rows: DataFrame, source: str) -> DataFrame:
 
 
 #: What a text must hold for a shape to be looked for at all.
+RESIDUE_NEEDS = {"EMAIL": "@", "PHONE": r"\d{3}[-. ]\d{4}", "SSN": r"-\d{2}-", "IP": r"\d\.\d", "CREDIT_CARD": r"\d{4}"}
 NEEDS = {"EMAIL": "@", "PHONE": r"\d{3}[-. ]\d{4}", "ID": r"-\d{2}-", "IP": r"\d\.\d", "FINANCIAL": r"\d{4}", "ADDRESS": rf"\d[ \t]"}
 
 
@@ -207,7 +208,7 @@ def residue(docs: DataFrame) -> DataFrame:
             hit = F.exists(found, lambda x: luhn(x))
         else:
             hit = F.size(found) > 0
-        flags.append(F.when(hit, F.lit(label)))
+        flags.append(F.when(text.rlike("(?U)" + RESIDUE_NEEDS[label]), F.when(hit, F.lit(label))))
     return docs.select("doc_id", F.array_sort(F.filter(F.array(*flags), lambda x: x.isNotNull())).alias("labels"))
 
 

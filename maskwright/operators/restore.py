@@ -16,16 +16,15 @@ class KeyConflict(ValueError):
     """Two keys give one identifier different values."""
 
 
-# The forms in which an identifier may come back.
-_NAME = r"[A-Za-z][A-Za-z_]{1,30}"
-_OPEN, _CLOSE = r"\\?\[[ \t]*", r"[ \t]*\\?\]"
+# The forms in which the identifier of a value may come back: in brackets, with a tag, bare.
 VALUE_FORMS = (
-    rf"(?P<boxed>{_OPEN}(?P<boxed_tag>{_NAME})\\?_(?P<boxed_hex>[0-9A-Fa-f]{{4,16}}){_CLOSE})"
-    rf"|(?<![0-9A-Za-z])(?P<named>(?P<named_tag>{_NAME})\\?_(?P<named_hex>[0-9A-Fa-f]{{4,16}}))(?![0-9A-Fa-f])"
+    r"(?P<boxed>\\?\[[ \t]*(?P<boxed_tag>[A-Za-z][A-Za-z_]{1,30})\\?_(?P<boxed_hex>[0-9A-Fa-f]{4,16})[ \t]*\\?\])"
+    r"|(?<![0-9A-Za-z])(?P<named>(?P<named_tag>[A-Za-z][A-Za-z_]{1,30})\\?_(?P<named_hex>[0-9A-Fa-f]{4,16}))(?![0-9A-Fa-f])"
     r"|(?<![0-9A-Za-z])(?P<bare_hex>[0-9A-Fa-f]{12})(?![0-9A-Za-z])"
 )
+# The same of an identity.
 IDENTITY_FORMS = (
-    rf"(?P<box>{_OPEN}(?:[A-Za-z][A-Za-z]{{1,30}}\\?_)?(?P<box_letter>[IiFf])(?P<box_hex>[0-9A-Fa-f]{{16}}|[0-9A-Fa-f]{{8}}){_CLOSE})"
+    r"(?P<box>\\?\[[ \t]*(?:[A-Za-z][A-Za-z]{1,30}\\?_)?(?P<box_letter>[IiFf])(?P<box_hex>[0-9A-Fa-f]{16}|[0-9A-Fa-f]{8})[ \t]*\\?\])"
     r"|(?<![0-9A-Za-z])(?P<id>(?:[A-Za-z][A-Za-z]{1,30}\\?_)?(?P<id_letter>[IiFf])(?P<id_hex>[0-9A-Fa-f]{16}))(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?P<id_bare>[0-9A-Fa-f]{16})(?![0-9A-Za-z])"
 )

@@ -131,7 +131,19 @@ _add(
 
 # --- replacing and verifying -----------------------------------------------------
 
-_add("scrub_documents", lambda s, d: scrub(_docs(s, d), _with_ids(s, d)).select("doc_id", "text", "replaced"))
+
+def _sql_scrubbed(text: str = "text", where: str = "") -> str:
+    """CTEs: ``steps`` (doc_id, n, tag, text, replaced), a document's values replaced one after the other, the longest first; ``done`` the last of each.
+
+    The values here never overlap without nesting, nor stand in placeholders, so turns make no difference.
+    """
+    return f"""{_IDS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(original) DESC, original) AS n FROM p),
+steps AS (SELECT doc_id, 0::BIGINT AS n, '' AS tag, {text} AS text, 0::BIGINT AS replaced FROM documents {where}
+  UNION ALL SELECT s.doc_id, o.n, o.tag, replace(s.text, o.original, o.placeholder), (length(s.text) - length(replace(s.text, o.original, ''))) // length(o.original) FROM steps s JOIN o ON o.doc_id = s.doc_id AND o.n = s.n + 1),
+done AS (SELECT doc_id, arg_max(text, n) AS text, sum(replaced)::INT AS replaced FROM steps GROUP BY doc_id)"""
+
+
+_add("scrub_documents", lambda s, d: scrub(_docs(s, d), _with_ids(s, d)).select("doc_id", "text", "replaced"), f"WITH RECURSIVE {_sql_scrubbed()} SELECT doc_id, text, replaced FROM done")
 
 
 def _verify(s: SparkSession, d: str) -> DataFrame:
@@ -140,9 +152,10 @@ def _verify(s: SparkSession, d: str) -> DataFrame:
     return out.agg(F.count("*").alias("documents"), F.count_if("passed").alias("passed"), F.sum("total_matches").cast("long").alias("matches"))
 
 
-_add("verify_residue", _verify, "SELECT count(*) AS documents, count(*) AS passed, 0::BIGINT AS matches FROM documents")
+_add("verify_residue", _verify, f"""WITH RECURSIVE {_sql_scrubbed()}, m AS (SELECT doc_id, count(*) FILTER (contains(text, original)) AS n FROM done LEFT JOIN p USING (doc_id) GROUP BY doc_id)
+SELECT count(*) AS documents, count(*) FILTER (n = 0) AS passed, sum(n)::BIGINT AS matches FROM m""")
 _add("verify_gate", lambda s, d: verify.passed_only(_docs(s, d), verify.verify(_docs(s, d), _with_ids(s, d))).select("doc_id"), f"WITH {_REGISTRY} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r)")
-_add("preview", lambda s, d: preview(_docs(s, d), _with_ids(s, d), 10_000).select("doc_id", "text", "spans"))
+_add("preview", lambda s, d: preview(_docs(s, d), _with_ids(s, d), 10_000).select("doc_id", "text", "spans"), f"WITH RECURSIVE {_sql_scrubbed('substr(text, 1, 10000)')} SELECT doc_id, text, replaced AS spans FROM done")
 _label = {
     "EMAIL": f"regexp_matches(t, '{detect.RESIDUE['EMAIL']}')", "PHONE": f"regexp_matches(t, '{detect.RESIDUE['PHONE']}')", "SSN": f"regexp_matches(t, '{detect.RESIDUE['SSN']}')",
     "IP": f"len(list_filter(regexp_extract_all(t, '{detect.RESIDUE['IP']}'), lambda x: NOT regexp_full_match(x, '\\d(\\.\\d){{3}}'))) > 0",
@@ -164,8 +177,31 @@ def _terms(s: SparkSession, d: str) -> DataFrame:
 
 _TERMS = "t AS (SELECT DISTINCT trim(regexp_extract(text, '^([^ \\n]+ [^ \\n]+)', 1)) AS value FROM benchmark WHERE trim(regexp_extract(text, '^([^ \\n]+ [^ \\n]+)', 1)) <> '')"
 _add("custom_terms", lambda s, d: detect.detect_terms(_docs(s, d), _terms(s, d)).select("doc_id", "value", "tag"), f"WITH {_TERMS} SELECT doc_id, value, 'PERSON' AS tag FROM documents, t WHERE contains(text, value)")
-_add("dictionary_matches", lambda s, d: occurrences(_docs(s, d), _terms(s, d).select("value")).groupBy("doc_id", "original").agg(F.count("*").alias("n")))
-_add("overlap_unions", lambda s, d: detect.overlap_unions(_overlapping(s, d), _docs(s, d)).select("doc_id", "value", "tag"))
+_PLACES = "unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(value)) = value)) AS start"
+_add("dictionary_matches", lambda s, d: occurrences(_docs(s, d), _terms(s, d).select("value")).groupBy("doc_id", "original").agg(F.count("*").alias("n")), f"""
+WITH RECURSIVE {_TERMS}, f AS (SELECT doc_id, value, {_PLACES} FROM documents JOIN t ON contains(text, value)),
+l AS (SELECT doc_id, start, arg_max(value, length(value)) AS value FROM f GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM l),
+g AS (SELECT doc_id, 0::BIGINT AS n, '' AS value, false AS kept, 0::BIGINT AS free FROM (SELECT DISTINCT doc_id FROM k)
+  UNION ALL SELECT k.doc_id, k.n, k.value, k.start >= g.free, CASE WHEN k.start >= g.free THEN k.start + length(k.value) ELSE g.free END FROM g JOIN k ON k.doc_id = g.doc_id AND k.n = g.n + 1)
+SELECT doc_id, value AS original, count(*) AS n FROM g WHERE kept GROUP BY ALL""")
+
+
+def _sql_unions(values: str) -> str:
+    """CTEs: ``u`` (doc_id, value, tag), the stretches in which values of ``values`` (doc_id, value, tag) overlap without nesting."""
+    short = "NOT regexp_matches(value, '\\pL') AND len(regexp_replace(value, '[^0-9]', '', 'g')) < 7 AND regexp_matches(value, '^\\d|\\d$')"
+    return f"""f AS (SELECT doc_id, value, tag, {_PLACES} FROM documents JOIN {values} v USING (doc_id) WHERE NOT ({short})),
+l AS (SELECT doc_id, start, max(start + length(value)) AS stop, arg_max(value, length(value)) AS value, arg_max(tag, length(value)) AS tag FROM f GROUP BY ALL),
+b AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start) AS island FROM b),
+j AS (SELECT doc_id, island, min(start) AS start, max(stop) AS stop, max({{'n': length(value), 's': -start, 'tag': tag}}).tag AS tag FROM g GROUP BY ALL HAVING count(*) > 1),
+x AS (SELECT doc_id, substr(text, j.start::BIGINT, (stop - j.start)::BIGINT) AS value, tag, j.start FROM j JOIN documents USING (doc_id)),
+u AS (SELECT doc_id, value, arg_min(tag, start) AS tag FROM x WHERE NOT regexp_matches(value, '[\t\n]') AND (doc_id, value) NOT IN (SELECT (doc_id, value) FROM {values}) GROUP BY ALL)"""
+
+
+_add("overlap_unions", lambda s, d: detect.overlap_unions(_overlapping(s, d), _docs(s, d)).select("doc_id", "value", "tag"), f"""
+WITH w AS (SELECT DISTINCT doc_id, value, 'PERSON' AS tag FROM (SELECT doc_id, unnest([regexp_extract(text, '^(\\S+ \\S+)', 1), regexp_extract(text, '^\\S+ (\\S+ \\S+)', 1)]) AS value FROM documents) WHERE value <> ''),
+{_sql_unions("w")} SELECT doc_id, value, tag FROM u""")
 
 
 def _overlapping(s: SparkSession, d: str) -> DataFrame:
@@ -249,8 +285,11 @@ def _restored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 _add("round_trip", lambda s, d: _restored(s, d)[0].select("doc_id", F.md5("text").alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")
-_add("restore_by_tag", lambda s, d: restore.restored_by_tag(_restored(s, d)[1]))
-_add("restore_report", lambda s, d: restore.restore_report(_restored(s, d)[1]).select("doc_id", "restored", "relabeled", "untagged", "unresolved_count"))
+_add("restore_by_tag", lambda s, d: restore.restored_by_tag(_restored(s, d)[1]), f"WITH RECURSIVE {_sql_scrubbed()} SELECT tag AS key_tag, sum(replaced)::BIGINT AS n FROM steps WHERE n > 0 AND replaced > 0 GROUP BY tag")
+_add(
+    "restore_report", lambda s, d: restore.restore_report(_restored(s, d)[1]).select("doc_id", "restored", "relabeled", "untagged", "unresolved_count"),
+    f"WITH RECURSIVE {_sql_scrubbed()} SELECT doc_id, replaced::BIGINT AS restored, 0::BIGINT AS relabeled, 0::BIGINT AS untagged, 0::BIGINT AS unresolved_count FROM done WHERE replaced > 0",
+)
 _add("key_conflicts", lambda s, d: restore.key_conflicts(_conflicting(s, d)).select("hex"), f"WITH {_IDS} SELECT DISTINCT hex_id AS hex FROM p WHERE doc_id % 2 = 0")
 
 
@@ -282,4 +321,7 @@ def _conflicting(s: SparkSession, d: str) -> DataFrame:
 
 _add("reserved_ids", lambda s, d: registry.reserved_ids(None, _keys(s, d)), f"WITH {_IDS} SELECT DISTINCT hex_id FROM p")
 _add("allowed_tags", lambda s, d: registry.first_wins(detect.detect_patterns(_docs(s, d), ["phone", "EMAIL"])).groupBy("tag").agg(F.count("*").alias("n")), "WITH h AS (" + " UNION ALL ".join(f"({_sql_hits(t)})" for t in ("EMAIL", "PHONE")) + ") SELECT tag, count(*) AS n FROM (SELECT doc_id, value, arg_min(tag, seq) AS tag FROM h GROUP BY ALL) GROUP BY tag")
-_add("full_registry", lambda s, d: register(_docs(s, d), TAGS, _terms(s, d)).select("doc_id", "original", "tag"))
+_add("full_registry", lambda s, d: register(_docs(s, d), TAGS, _terms(s, d)).select("doc_id", "original", "tag"), f"""
+WITH {_REGISTRY}, {_TERMS}, n AS (SELECT doc_id, value, 'PERSON' AS tag FROM documents, t WHERE contains(text, value)),
+w AS (SELECT * FROM n UNION ALL SELECT doc_id, original, tag FROM r WHERE (doc_id, original) NOT IN (SELECT (doc_id, value) FROM n)),
+{_sql_unions("w")} SELECT doc_id, value AS original, tag FROM w UNION ALL SELECT * FROM u""")
