@@ -149,7 +149,12 @@ class Linker:
 
 
 def by_difference(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components that can reach the threshold, by what sets them apart from a middle.
+    """Pairs (a < b) of different components, by ``prefixes`` and ``prefix_pairs``."""
+    return prefix_pairs(prefixes(pairs, sets, percent), percent)
+
+
+def prefixes(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What to look at to find the pairs of different components that can reach the threshold, by what sets them apart from a middle.
 
     ``pairs`` has middle, id and component; nodes of one middle are compared.  With
     D(x) the grams by which x differs from m (added and missing ones), x and y are as
@@ -180,7 +185,12 @@ def by_difference(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # those of one set alone come before all others and match none
     placed = apart.drop("apart").join(ranked, ["middle", "id"]).select("*", F.posexplode("shared").alias("k", "one"))
     placed = placed.withColumn("at", F.col("d") - F.size("shared") + F.col("k") + 1).withColumn("gram", F.col("one.gram")).filter("at <= d - loose + 1")
-    kept = written(placed.select("middle", "gram", "id", "component", "n", "d", "at", "linked", "tight"), "prefixes")
+    return written(placed.select("middle", "gram", "id", "component", "n", "d", "at", "linked", "tight"), "prefixes")
+
+
+def prefix_pairs(kept: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a < b) of different components that share a gram of their prefixes and can reach the threshold."""
+    up, down = 100 + percent, 100 - percent
     ends = lambda rows, x: rows.select("middle", "gram", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "d", "at")))
     # grams that can still be shared from these places on must be enough
     need = F.col("d_a") + F.col("d_b") - 2 * (1 + F.least(F.col("d_a") - F.col("at_a"), F.col("d_b") - F.col("at_b")))
@@ -194,6 +204,20 @@ def by_difference(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select(ids).unionByName(one.select(ids))
 
 
+def _stars(kept: DataFrame, component: DataFrame, turn: int) -> DataFrame:
+    """Each node with one node of every gram in its prefix, another one each ``turn``, where they are in different components."""
+    now = written(_now(kept, component).select("middle", "gram", "id", "component"), "now")
+    chosen = now.groupBy("middle", "gram").agg(F.max(F.struct(F.xxhash64("id", F.lit(turn)).alias("hash"), "id", "component")).alias("m"), F.count("*").alias("c"))
+    one = chosen.filter("c > 1").select("middle", "gram", F.col("m.id").alias("middle_id"), F.col("m.component").alias("its"))
+    rows = meet(now, one, ["middle", "gram"], "id")
+    return rows.filter("component <> its").select(F.least("id", "middle_id").alias("a"), F.greatest("id", "middle_id").alias("b"))
+
+
+def _now(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """``rows`` with their ids' components as they are now."""
+    return rows.drop("component").join(component.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def _across(open_: DataFrame) -> DataFrame:
     """All pairs of a bucket's nodes that are in different components."""
     other = open_.select("key", F.col("id").alias("id_b"), F.col("component").alias("component_b"))
@@ -228,12 +252,15 @@ def joined(component: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component")), "component")
 
 
-def cluster(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, count: int = MINIMA) -> DataFrame:
+def cluster(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, count: int = MINIMA, turns: int = 0) -> DataFrame:
     """``rows`` (a table of SKETCH rows; doc_id is any id) without signature and bands, and with the component of each set.
 
     ``sets_of`` gives ``id`` and ``grams`` for a table of ``id``.  Sets are linked where
     100 * |both| >= percent * |either|; a component's id is its smallest doc_id.  Rows
     with a null id or an empty set get a null component; rows of one set are one node.
+    With ``turns`` what large buckets leave is compared star-wise too, so many times,
+    before pairs are made: where short sets differ by the same few grams, most are joined
+    by then.  The components are the same.
     """
     same = rows.filter("n > 0 and doc_id is not null").groupBy("high", "low")
     groups = written(same.agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "nodes")
@@ -263,9 +290,18 @@ def cluster(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     if open_.take(1):
         around = written(_with_middle(open_, links), "around")
         large = around.filter((F.col("c") > SMALL_BUCKET) & (F.col("id") != F.col("middle"))).select("middle", "id", "component").distinct()
-        pairs = _spokes(around).unionByName(_across(open_.filter(F.col("c") <= SMALL_BUCKET))).unionByName(by_difference(large, sets, percent))
-        fresh = written(linker.likely(pairs.distinct().join(tried, ["a", "b"], "left_anti")), "likely")
-        component = joined(component, written(linker.links(fresh, sets), "confirmed"))
+        if turns:
+            kept = prefixes(large, sets, percent)
+            rounds = [lambda: _spokes(around).unionByName(_across(open_.filter(F.col("c") <= SMALL_BUCKET)))]
+            rounds += [lambda turn=turn: _stars(kept, component, turn) for turn in range(turns)]
+            for pairs_of in [*rounds, lambda: prefix_pairs(_now(kept, component), percent)]:
+                fresh = written(linker.likely(pairs_of().distinct().join(tried, ["a", "b"], "left_anti")), "likely")
+                tried = written(tried.unionByName(fresh), "tried")
+                component = joined(component, written(linker.links(fresh, sets), "confirmed"))
+        else:
+            pairs = _spokes(around).unionByName(_across(open_.filter(F.col("c") <= SMALL_BUCKET))).unionByName(by_difference(large, sets, percent))
+            fresh = written(linker.likely(pairs.distinct().join(tried, ["a", "b"], "left_anti")), "likely")
+            component = joined(component, written(linker.links(fresh, sets), "confirmed"))
     found = written(placed(groups.select("high", "low", "node", "copies"), "node").select("high", "low", "copies", "component"), "components")
     return attach(rows.drop("signature", "bands"), found, ["high", "low"], "copies")
 

@@ -28,6 +28,8 @@ LINE_WORDS, PASSAGE_WORDS = 20, 20
 SHINGLE, PERCENT = 5, 80
 #: Bands and minima of a band for lines (a pair at 0.8 is missed once in 3,500), and all minima kept.
 LINE_BANDS, LINE_ROWS, LINE_MINIMA = 8, 2, 64
+#: Star-wise rounds over the lines of large buckets.
+TURNS = 6
 #: A cut is the least of so many word pairs on either side.
 REACH = 4
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -235,7 +237,7 @@ def repeated_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     lines = found.filter("line is not null").withColumn("line_id", _line_id())
     sketched = lines.select(F.col("line_id").alias("doc_id"), "n", "high", "low", "signature", "bands")
     sets_of = lambda ids: line_sets(docs, lines.join(ids.withColumnRenamed("id", "line_id"), "line_id", "left_semi"))
-    classes = cluster(sketched, sets_of, PERCENT, LINE_MINIMA).select(F.col("doc_id").alias("line_id"), F.coalesce("component", "doc_id").alias("component_id")).distinct()
+    classes = cluster(sketched, sets_of, PERCENT, LINE_MINIMA, TURNS).select(F.col("doc_id").alias("line_id"), F.coalesce("component", "doc_id").alias("component_id")).distinct()
     classes = written(classes, "line-classes")
     sizes = classes.groupBy("component_id").count().filter("count > 1").select("component_id")
     where = written(lines.select("doc_id", "line", "size", "line_id").distinct().join(classes.join(sizes, "component_id"), "line_id"), "repeated-lines")
