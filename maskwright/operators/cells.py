@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.operators.matcher import scrub
+from maskwright.operators.matcher import Matcher, placeholders, splice, with_own_map
 
+#: Rows of a table that its values travel with.
+BLOCK_ROWS = 2_000
 KEY = ["doc_id", "sheet", "row", "col"]
 
 
@@ -56,10 +61,38 @@ def scrub_cells(cells: DataFrame, registry: DataFrame, overrides: DataFrame | No
         rows = cells.select(*KEY, F.coalesce("value", F.lit("")).alias("value"), F.lit(False).alias("overridden"), F.lit(False).alias("skipped"))
     else:
         rows = apply_overrides(cells, overrides)
-    done = scrub(rows.filter("not overridden"), registry, protected, "value").drop("replaced")
+    left = rows.filter("not overridden")
+    texts = _scrubbed(left.select(*KEY, "value"), registry, set(protected)).withColumnRenamed("value", "_new")
+    done = left.join(texts, KEY, "left").withColumn("value", F.coalesce("_new", "value")).drop("_new") if overrides is not None else texts.select(*KEY, F.col("_new").alias("value"), F.lit(False).alias("overridden"), F.lit(False).alias("skipped"))
     return done.unionByName(rows.filter("overridden"))
 
 
+def _scrubbed(cells: DataFrame, registry: DataFrame, protected: set[str]) -> DataFrame:
+    """Cells with their document's values replaced.
+
+    A table can have as many values as cells, so they travel with a block of BLOCK_ROWS
+    rows, not with each cell, and their automaton is built once a block.
+    """
+    block = (F.col("row") / BLOCK_ROWS).cast("int").alias("_block")
+    blocks = cells.groupBy("doc_id", "sheet", block).agg(F.collect_list(F.struct("row", "col", "value")).alias("cells"))
+    rows = with_own_map(blocks, registry.dropDuplicates(["doc_id", "original"]))
+    plain = rows.filter("own is null").select("doc_id", "sheet", F.inline("cells"))
+    out = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in (*KEY, "value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = {a: b for a, b in batch.column("own")[k].as_py() if a}
+                matcher = Matcher(own, placeholders(own.values()) | protected)
+                inner = batch.column("cells").slice(k, 1).flatten()
+                row, col, value = inner.flatten()
+                new = [splice(x, ((a, b, own[v]) for a, b, v in matcher.find(x))) if x else x for x in value.to_pylist()]
+                same = pa.array([k] * len(new), pa.int64())
+                yield pa.record_batch([batch.column("doc_id").take(same), batch.column("sheet").take(same), row, col, pa.array(new, pa.string())], names=[*KEY, "value"])
+
+    return rows.filter("own is not null").select("doc_id", "sheet", "cells", "own").mapInArrow(run, out).unionByName(plain)
+
+
 def append_column(cells: DataFrame, specs: DataFrame, values: DataFrame) -> DataFrame:
     """Cells with a new column: specs (doc_id, sheet, col, header_row, header), values (doc_id, sheet, row, value).
 

@@ -153,6 +153,21 @@ def test_cells(spark):
     assert C.best_layout(cells, tie).count() == 0
 
 
+def test_cells_of_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_ROWS", 7)
+    rows = [(d, s, r, c, f"v{d}{r}{'x' if c else ''}, 12 {r}") for d in (1, 2, 3) for s in (0, 1) for r in range(20) for c in range(3)] + [(1, 0, 50, 0, None), (None, 0, 0, 0, "v11")]
+    cells = spark.createDataFrame(rows, "doc_id long, sheet int, row int, col int, value string").repartition(5)
+    reg = spark.createDataFrame([(d, v, f"[ID_{d}A1B2C3D4E5F{k}]"[:15] + "]") for d in (1, 2) for k, v in enumerate([f"v{d}1", f"v{d}1x", "12", "3", ""])] + [(1, "v11", "[ID_000000000000]")], "doc_id long, original string, placeholder string")
+    over = spark.createDataFrame([(1, 0, 3, 0, "v13, 12 3", "[I1]"), (1, 0, 4, 0, "other", "[I2]")], "doc_id long, sheet int, row int, col int, expected string, new string")
+    for o in (None, over):
+        got = C.scrub_cells(cells, reg, o)
+        assert got.columns == ["doc_id", "sheet", "row", "col", "value", "overridden", "skipped"]
+        want = matcher.scrub(C.apply_overrides(cells, over if o is not None else over.limit(0)).filter("not overridden"), reg, (), "value").drop("replaced")
+        key = lambda df: sorted(map(repr, (tuple(r) for r in df.select(*C.KEY, "value", "skipped").collect())))
+        assert key(got.filter("not overridden")) == key(want)
+        assert got.count() == len(rows) and got.filter("overridden").count() == (o is not None)
+
+
 def test_a_value_without_a_free_id_fails(spark):
     rows = registry.first_wins(detect.detect_patterns(spark.createDataFrame([(1, "a@b.org c@d.org")], "doc_id long, text string")))
     every = []
