@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from maskwright.llm import decontamination, exact_dedup, licenses, minhash, packing, quality, queries, substring_dedup, toxicity, urls, warc
+from maskwright.llm import common, decontamination, exact_dedup, licenses, minhash, packing, quality, queries, substring_dedup, toxicity, urls, warc
 from maskwright.llm.common import Words, ngrams, scratch_path
 from maskwright.llm.components import connected_components
 
@@ -75,6 +75,21 @@ def test_near_components_are_exact(spark, monkeypatch, k, percent, bucket):
     assert [got[i].n_shingles for i in range(len(texts))] == [len(shingles(t, k)) for t in texts]
 
 
+@pytest.mark.parametrize("turns", [1, 3])
+def test_star_turns_lose_no_link(spark, monkeypatch, turns):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
+    rng = random.Random(16)
+    texts = []
+    for size in (12, 25, 60, 150):
+        base = [f"w{rng.randrange(300)}" for _ in range(size)]
+        texts += [edited(rng, base, rng.randint(0, max(1, size // 10))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = common.written(minhash.sketches(df, 3, minhash.least_linked(85), minhash.BANDS, minhash.ROWS, minhash.MINIMA), "sketches")
+    found = minhash.cluster(rows, lambda ids: minhash.full_sets(df, ids, 3), 85, turns=turns)
+    got = {r.doc_id: r.component for r in found.collect()}
+    assert [got[i] for i in range(len(texts))] == near_brute(texts, 3, 85)
+
+
 def test_pairs_of_near_copies_grow_in_proportion(spark, monkeypatch):
     made = []
     for name in ("by_difference", "_across"):
