@@ -237,3 +237,9 @@ def test_glued_ids_are_in_the_report(spark):
     assert sorted((r.doc_id, r.start, r.token) for r in restore.glued(docs, found, index).collect()) == [(0, 8, "A1A1A1A1A1A1"), (1, 2, "0123456789abcdef")]
     report = {r.doc_id: (r.unresolved_count, list(r.unresolved)) for r in restore.restore_report(restore.with_glued(docs, found, index)).collect()}
     assert report == {0: (1, ["A1A1A1A1A1A1"]), 1: (1, ["0123456789abcdef"])}
+
+
+def test_links_by_id_and_by_text(spark):
+    rows = [(1, "Ann", "PERSON", "AAAAAAAAAAA1", None), (1, "a@x.org", "EMAIL", "AAAAAAAAAAA2", "Ann"), (1, "555", "PHONE", "AAAAAAAAAAA3", "aaaaaaaaaaa1"), (1, "b", "ID", "AAAAAAAAAAA4", "[PERSON_AAAAAAAAAAA1]"), (1, "c", "ID", "AAAAAAAAAAA5", "nobody"), (1, "d", "ID", "AAAAAAAAAAA6", "d"), (2, "e", "ID", "AAAAAAAAAAA7", "Ann")]
+    found = registry.resolve_links(spark.createDataFrame(rows, "doc_id long, original string, tag string, hex_id string, linked_to string"))
+    assert {r.original: r.linked_to for r in found.collect()} == {"Ann": None, "a@x.org": "AAAAAAAAAAA1", "555": "AAAAAAAAAAA1", "b": "AAAAAAAAAAA1", "c": None, "d": None, "e": None}

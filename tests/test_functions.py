@@ -56,3 +56,13 @@ def test_escape_round_trip(spark):
     assert values(spark, ["<a & \"b\" 'c'>"], lambda c: T.xml_unescape(T.xml_escape(c))) == ["<a & \"b\" 'c'>"]
     references = ["Jos&#233; &#xE9;&#X1F600;", "&amp;lt; &#0038;lt;", "&#xD800; &#0; &#1114112; &nbsp; a & b;", "", None]
     assert values(spark, references, T.xml_unescape) == ["José é😀", "&lt; &lt;", references[2], "", None]
+
+
+def test_names_notes_and_stamps(spark):
+    assert values(spark, ["a/b\\c d?.csv", "x.y-z_1", ""], T.safe_name) == ["c_d_.csv", "x.y-z_1", ""]
+    assert values(spark, ["[EMAIL_0A1B2C3D4E5F]", "ID_12AB", "[x]", "EMAIL"], T.tag_of) == ["EMAIL", "ID", "", ""]
+    (note,) = values(spark, ["body [ID_12AB]"], T.copy_note)
+    assert note.endswith("\n\nbody [ID_12AB]") and "exactly as written" in note
+    assert values(spark, ["2024-05-01 10:00:00"], lambda c: T.utc_stamp(F.to_timestamp(c))) == ["2024-05-01T10:00:00Z"]
+    assert values(spark, ["PERSON", "GENDER", "none"], tags.tag_rank) == [1, 17, 0]
+    assert set(tags.HELP) == set(tags.TAGS)

@@ -113,3 +113,14 @@ def test_no_name_is_written_twice(spark):
     free = {r.doc_id: r.free for r in sinks.free_names(names, taken).collect()}
     assert free == {1: "a.csv", 2: "a_2.csv", 3: "a_4.csv", 4: "a_1.csv", 5: "b_2", 6: "c.csv", 7: "a_1_1.csv"}
     assert sinks.free_names(names.filter("false"), taken).count() == 0
+
+
+def test_counts_of_a_stream_by_window(spark, tmp_path):
+    rows = [(1, "a@example.com b@example.com", "2024-01-01 00:01:00"), (2, "a@example.com", "2024-01-01 00:12:00"), (3, "x", "2024-01-01 09:00:00")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    for k in (1, 2, 3):
+        frame.filter(f"doc_id = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("doc_id long, text string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = stream.counts_by_window(source, ["EMAIL"]).writeStream.format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.tag, r.n) for r in spark.sql("select tag, n from windows").collect()) == [("EMAIL", 1), ("EMAIL", 2)]
