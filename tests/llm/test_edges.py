@@ -58,6 +58,18 @@ def test_odd_rows(spark, name):
     if name == "exact":
         by = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got}
         assert {(1, 1, 4, True), (2, 1, 4, False), (None, 1, 4, False), (3, 3, 3, True), (5, 5, 3, True)} & by == {(1, 1, 4, True), (2, 1, 4, False), (None, 1, 4, False), (5, 5, 3, True)}
+    if name in ("toxicity", "quality"):
+        by = {}
+        for r in got:
+            by.setdefault(r.doc_id, set()).add(r.score)
+        # the text alone decides: null and empty ones alike, repeated rows alike
+        assert by[3] == by[4] and (name == "quality" or by[4] == by[5]) and by[1] == by[2] == by[None] and all(len(x) == 1 and 0 <= min(x) <= 1 for x in by.values())
+    if name == "urls":
+        assert sorted((r.page_id or 0, r.host, r.rule, r.verdict) for r in got) == [
+            (0, "", None, "allow"), (1, "a.org", "org/", "allow"), (1, "a.org", "org/", "allow"), (2, "", None, "allow"), (3, "", None, "allow"), (4, "b.com", "com/de/", "block"),
+        ]
+    if name == "substring":
+        assert all(r.doc_id == r.row_key for r in got) and {r.doc_id for r in got} <= {6}
     if name == "packing":
         assert {r.doc_id for r in got} == {None, 1, 2, 3, 4, 5, 6, 7} and sum(r.doc_id == 1 for r in got) == 2
     if name == "decontamination":
@@ -106,6 +118,45 @@ def test_stages_decide_row_by_row(spark, tmp_path):
     assert left(stages["decontamination"](spark, docs, str(tmp_path))) == [r for r in every if r != (4, f"so {item} then")]
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    import public_tokenizers
+    from test_operators import edited, near_brute, smith_waterman
+    from tokenizers import Tokenizer
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    items = [[word() for _ in range(rng.randint(12, 30))] for _ in range(6)]
+    texts = []
+    for k in range(90):
+        body = [word() for _ in range(rng.randint(30, 80))]
+        if k % 9 == 0:
+            w = list(items[k // 9 % 6])
+            for _ in range(k % 2):  # four words in a row are left
+                w[rng.randrange(len(w))] = word()
+            body[20:20] = w
+        texts.append(" ".join(body))
+    texts += [t.replace(" ", "  ", rng.randint(0, 4)) for t in texts[:20]]  # equal but for white space
+    texts += [edited(rng, texts[k].split(), rng.randint(0, 3)) for k in range(20, 60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels(spark, empty=True).write.parquet(str(tmp_path / "labels.parquet"))  # nothing is learnt, so nothing is toxic
+    best = {}
+    for i, t in enumerate(texts):
+        best.setdefault(re.sub("[\x20\x09-\x0d]", "", t), []).append((-len(t), i))
+    kept = sorted(min(group)[1] for group in best.values())
+    root = near_brute([texts[i] for i in kept], 5, 80)
+    kept = [i for k, i in enumerate(kept) if root[k] == k]
+    kept = [i for i in kept if not any(smith_waterman(w, texts[i].split()) >= len(w) for w in items)]
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert sorted(out["doc_id"]) == kept and 60 < len(kept) < len(texts)
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert dict(zip(out["doc_id"], out["length"], strict=True)) == {i: len(plain.encode(texts[i], add_special_tokens=False).ids) + 1 for i in kept}
+
+
 def test_pipeline_runs_its_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert out.columns.tolist() == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
