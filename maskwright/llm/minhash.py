@@ -33,6 +33,8 @@ MINIMA, BITS = 256, 4
 BANDS, ROWS = 32, 4
 #: Buckets of up to so many nodes compare all of them.
 SMALL_BUCKET = 16
+#: Nodes of a gram that a star-wise round compares the others with.
+STAR_ENDS = 3
 #: Standard deviations below the threshold at which an estimate discards a pair.
 SPREAD = 5
 
@@ -205,12 +207,12 @@ def prefix_pairs(kept: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(kept: DataFrame, component: DataFrame, turn: int) -> DataFrame:
-    """Each node with one node of every gram in its prefix, another one each ``turn``, where they are in different components."""
+    """Each node with STAR_ENDS nodes of every gram in its prefix, others each ``turn``, where they are in different components."""
     now = written(_now(kept, component).select("middle", "gram", "id", "component"), "now")
-    chosen = now.groupBy("middle", "gram").agg(F.max(F.struct(F.xxhash64("id", F.lit(turn)).alias("hash"), "id", "component")).alias("m"), F.count("*").alias("c"))
-    one = chosen.filter("c > 1").select("middle", "gram", F.col("m.id").alias("middle_id"), F.col("m.component").alias("its"))
-    rows = meet(now, one, ["middle", "gram"], "id")
-    return rows.filter("component <> its").select(F.least("id", "middle_id").alias("a"), F.greatest("id", "middle_id").alias("b"))
+    ends = [F.max(F.struct(F.xxhash64("id", F.lit(turn * STAR_ENDS + k)).alias("hash"), "id", "component")) for k in range(STAR_ENDS)]
+    chosen = now.groupBy("middle", "gram").agg(F.array(*ends).alias("ends"), F.count("*").alias("c"))
+    each = meet(now, chosen.filter("c > 1").drop("c"), ["middle", "gram"], "id").select("id", "component", F.explode(F.array_distinct("ends")).alias("end"))
+    return each.filter(F.col("component") != F.col("end.component")).select(F.least("id", "end.id").alias("a"), F.greatest("id", "end.id").alias("b"))
 
 
 def _now(rows: DataFrame, component: DataFrame) -> DataFrame:

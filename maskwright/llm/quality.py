@@ -178,7 +178,13 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, most: int = TRAIN_ROWS) -> Model:
-    """A model from at most about ``most`` labelled rows outside the held-out fold."""
+    """A model from at most about ``most`` labelled rows outside the held-out fold.
+
+    Null texts count as empty, and rows with a null id or label teach nothing; a repeated
+    id of ``docs`` teaches each of its texts, and of its labels the largest counts.
+    Without rows, or with one label alone, every text gets the same score.  Of equally
+    good cuts the first is taken.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int =
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row from its whole text; null texts count as empty.
 
-    Repeated rows are scored each, a null id stays null, and no other column is read.
+    Repeated rows are scored each, a null id stays null, ties need no order, and an empty
+    table gives no rows.  No other column is read.
     """
     spark = docs.sparkSession
     small_batches(spark)

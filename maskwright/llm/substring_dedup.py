@@ -29,7 +29,7 @@ SHINGLE, PERCENT = 5, 80
 #: Bands and minima of a band for lines (a pair at 0.8 is missed once in 3,500), and all minima kept.
 LINE_BANDS, LINE_ROWS, LINE_MINIMA = 8, 2, 64
 #: Star-wise rounds over the lines of large buckets.
-TURNS = 6
+TURNS = 2
 #: A cut is the least of so many word pairs on either side.
 REACH = 4
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -183,7 +183,13 @@ def calibrate(model: Model, buckets: np.ndarray, offsets: np.ndarray, labels: np
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held_out: int = 0, most: int = TRAIN_ROWS) -> Model:
-    """A model from at most about ``most`` labelled rows outside the held-out fold."""
+    """A model from at most about ``most`` labelled rows outside the held-out fold.
+
+    Null texts count as empty, and rows with a null id or label teach nothing; a repeated
+    id of ``docs`` teaches each of its texts, and of its labels the largest counts.
+    Without rows, or with one label alone, every text gets the same score.  Of thresholds
+    that do equally well the middle is taken.
+    """
     rows = labelled_sample(docs, labels, label, parts, held_out, most).toArrow().sort_by("doc_id")
     langs = rows.column("lang").to_pylist()
     if not rows.num_rows:
@@ -209,7 +215,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` depends on the text alone; ``threshold`` is that of the row's language
     (the common one where it is null or unknown) and ``flagged`` compares the two.
-    Null texts count as empty and get the score of a text without words.
+    Null texts count as empty and get the score of a text without words.  Repeated rows
+    are scored each, a null id stays null, a score at the threshold is flagged, and an
+    empty table gives no rows.  Other columns aren't read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -229,7 +237,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def remove_flagged(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that aren't flagged at their language's threshold."""
+    """The rows of ``docs``, with all their columns, that aren't flagged at their language's threshold.
+
+    As ``score`` judges them: each row by its own text, so repeated rows go or stay together.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # of fixed size
