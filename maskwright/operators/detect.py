@@ -72,13 +72,18 @@ def pattern_matches(docs: DataFrame, tag: str) -> DataFrame:
     return docs.select("doc_id", F.inline(_matches(tag))).drop("seq")
 
 
+def _busy_lines(text: Column) -> Column:
+    """The lines of a text with a digit or an ``@``, without which no shape matches; none goes beyond its line."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"(?U)[@\d]")), "\n")
+
+
 def detect_patterns(docs: DataFrame, tags: Iterable[str] = TAGS) -> DataFrame:
     """Matches of all allowed shapes, from one pass over the texts; only the selected ones are evaluated."""
     order = [t for t in SHAPES if t in set(allowed_tags(tags))]
     if not order:
         return _hits(docs.select("doc_id", F.lit("").alias("value"), F.lit("").alias("tag"), F.lit(0).alias("seq")).limit(0), "patterns")
     found = [F.coalesce(_matches(tag, i), F.array()) for i, tag in enumerate(order)]
-    return _hits(docs.select("doc_id", F.inline(F.concat(*found))), "patterns")
+    return _hits(docs.select("doc_id", _busy_lines(F.col("text")).alias("text")).select("doc_id", F.inline(F.concat(*found))), "patterns")
 
 
 def parse_terms(lines: DataFrame) -> DataFrame:
