@@ -53,10 +53,21 @@ RESIDUE_NEEDS = {"EMAIL": "@", "PHONE": r"\d{3}[-. ]\d{4}", "SSN": r"-\d{2}-", "
 NEEDS = {"EMAIL": "@", "PHONE": r"\d{3}[-. ]\d{4}", "ID": r"-\d{2}-", "IP": r"\d\.\d", "FINANCIAL": r"\d{4}", "ADDRESS": rf"\d[ \t]"}
 
 
-def _matches(tag: str, order: int = 0) -> Column:
+#: ``\\b`` between ASCII characters; Java 17's own one knows all scripts, with and without ``(?U)``.
+_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def _pattern(shape: str, ascii_words: bool) -> str:
+    """A shape for Java: digits, word characters and their edges of any script, or, as RE2 has them, of ASCII only."""
+    if not ascii_words:
+        return "(?U)" + shape
+    return shape.replace(r"\b", _EDGE).replace(r"[\s", r"[ \t\n\f\r")
+
+
+def _matches(tag: str, order: int = 0, ascii_words: bool = False) -> Column:
     """An array of value, tag, place and seq of one tag's shape in ``text``."""
-    pattern = F.lit("(?U)" + BEFORE.get(tag, "") + f"(?:{SHAPES[tag]})")
-    raw = F.when(F.col("text").rlike("(?U)" + NEEDS[tag]), F.regexp_extract_all("text", pattern, 0))
+    pattern = F.lit(_pattern(BEFORE.get(tag, "") + f"(?:{SHAPES[tag]})", ascii_words))
+    raw = F.when(F.col("text").rlike(_pattern(NEEDS[tag], ascii_words)), F.regexp_extract_all("text", pattern, 0))
     value = lambda x: F.regexp_replace(strip(x), r"[.,]+\z", "")
     found = F.transform(raw, lambda x, i: F.struct(value(x).alias("value"), F.lit(tag).alias("tag"), i.alias("place"), (i.cast("long") + F.lit(order << 40)).alias("seq")))
     keep = lambda x: x["value"] != ""
@@ -67,9 +78,13 @@ def _matches(tag: str, order: int = 0) -> Column:
     return F.filter(found, keep)
 
 
-def pattern_matches(docs: DataFrame, tag: str) -> DataFrame:
-    """Every match of one tag's shape, repeats included: doc_id, value, tag, place."""
-    return docs.select("doc_id", F.inline(_matches(tag))).drop("seq")
+def pattern_matches(docs: DataFrame, tag: str, ascii_words: bool = False) -> DataFrame:
+    """Every match of one tag's shape, repeats included: doc_id, value, tag, place.
+
+    A street name within a longer word is none: ``87 St`` isn't found in ``87 Stühle``.
+    With ``ascii_words`` it is, as letters beyond ASCII then end a word.
+    """
+    return docs.select("doc_id", F.inline(_matches(tag, ascii_words=ascii_words))).drop("seq")
 
 
 def _busy_lines(text: Column) -> Column:
@@ -77,12 +92,15 @@ def _busy_lines(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"(?U)[@\d]")), "\n")
 
 
-def detect_patterns(docs: DataFrame, tags: Iterable[str] = TAGS) -> DataFrame:
-    """Matches of all allowed shapes, from one pass over the texts; only the selected ones are evaluated."""
+def detect_patterns(docs: DataFrame, tags: Iterable[str] = TAGS, ascii_words: bool = False) -> DataFrame:
+    """Matches of all allowed shapes, from one pass over the texts; only the selected ones are evaluated.
+
+    ``ascii_words`` as for ``pattern_matches``.
+    """
     order = [t for t in SHAPES if t in set(allowed_tags(tags))]
     if not order:
         return _hits(docs.select("doc_id", F.lit("").alias("value"), F.lit("").alias("tag"), F.lit(0).alias("seq")).limit(0), "patterns")
-    found = [F.coalesce(_matches(tag, i), F.array()) for i, tag in enumerate(order)]
+    found = [F.coalesce(_matches(tag, i, ascii_words), F.array()) for i, tag in enumerate(order)]
     return _hits(docs.select("doc_id", _busy_lines(F.col("text")).alias("text")).select("doc_id", F.inline(F.concat(*found))), "patterns")
 
 
@@ -201,19 +219,22 @@ def skipped_amounts(items: DataFrame) -> DataFrame:
     return items.filter(~F.col("tag").isin(NUMERIC_TAGS) & is_plain_amount(F.col("value"))).select("doc_id", "value").distinct()
 
 
-def residue(docs: DataFrame) -> DataFrame:
-    """The labels of shapes left in finished texts: a warning, not a failure.  doc_id, labels."""
+def residue(docs: DataFrame, ascii_words: bool = False) -> DataFrame:
+    """The labels of shapes left in finished texts: a warning, not a failure.  doc_id, labels.
+
+    ``ascii_words`` as for ``pattern_matches``.
+    """
     docs, text = docs.select("doc_id", without_placeholders(F.col("text")).alias("_bare")), F.col("_bare")
     flags = []
     for label, shape in RESIDUE.items():
-        found = F.regexp_extract_all(text, F.lit(f"(?U)(?:{shape})"), 0)
+        found = F.regexp_extract_all(text, F.lit(_pattern(f"(?:{shape})", ascii_words)), 0)
         if label == "IP":
             hit = F.exists(found, lambda x: ~is_version(x))
         elif label == "CREDIT_CARD":
             hit = F.exists(found, lambda x: luhn(x))
         else:
             hit = F.size(found) > 0
-        flags.append(F.when(text.rlike("(?U)" + RESIDUE_NEEDS[label]), F.when(hit, F.lit(label))))
+        flags.append(F.when(text.rlike(_pattern(RESIDUE_NEEDS[label], ascii_words)), F.when(hit, F.lit(label))))
     return docs.select("doc_id", F.array_sort(F.filter(F.array(*flags), lambda x: x.isNotNull())).alias("labels"))
 
 

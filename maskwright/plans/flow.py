@@ -22,12 +22,12 @@ class Result(NamedTuple):
     verified: DataFrame
 
 
-def register(docs: DataFrame, tags: Iterable[str] = TAGS, terms: DataFrame | None = None, cells: DataFrame | None = None, model_hits: DataFrame | None = None, certain: DataFrame | None = None) -> DataFrame:
+def register(docs: DataFrame, tags: Iterable[str] = TAGS, terms: DataFrame | None = None, cells: DataFrame | None = None, model_hits: DataFrame | None = None, certain: DataFrame | None = None, ascii_words: bool = False) -> DataFrame:
     """The registry of all detectors by precedence, stretches of overlap included, without ids.
 
     Hits are written once, so each detector runs once and a model is asked once a chunk.
     """
-    parts = [detect.detect_patterns(docs, tags)]
+    parts = [detect.detect_patterns(docs, tags, ascii_words)]
     if model_hits is not None:
         parts.append(model_hits)
     if terms is not None:

@@ -38,3 +38,19 @@ def test_against_sql(spark, name):
 def test_core_imports_alone():
     for name in ("operators.detect", "operators.roster", "sources.files", "streaming.detect", "plans.flow"):
         assert importlib.import_module(f"maskwright.{name}")
+
+
+NEAR_OTHER_SCRIPTS = ["15.201.41.87 Stühle", "é12 Oak Hill Rd", "5 Lake Way #ü", "9 Elm Ave Apt 4é", "ñ555-123-4567", "4111 1111 1111 1111ß", "123-45-6789é", "٣1.2.3.44", "a@b.org 12 Oak St"]
+
+
+@pytest.mark.parametrize("name", """detect_address detect_phone detect_ip detect_id detect_financial registry_first_wins counts_per_tag registry_totals assign_ids longest_first
+    recent_entries deselect_tags rollup_by_lang issued_ids reserved_ids preview_counts residue_labels""".split())
+def test_words_end_at_letters_beyond_ascii_as_in_sql(spark, tmp_path, name):
+    texts = [(k, x, "de") for k, x in enumerate(NEAR_OTHER_SCRIPTS)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = connection.sql(core.ORACLE_SQL[name]).df()
+    got = core.QUERIES[name](spark, str(tmp_path)).toPandas()
+    columns = sorted(want.columns)
+    assert len(want) and rows(got, columns) == rows(want, columns)

@@ -243,3 +243,9 @@ def test_links_by_id_and_by_text(spark):
     rows = [(1, "Ann", "PERSON", "AAAAAAAAAAA1", None), (1, "a@x.org", "EMAIL", "AAAAAAAAAAA2", "Ann"), (1, "555", "PHONE", "AAAAAAAAAAA3", "aaaaaaaaaaa1"), (1, "b", "ID", "AAAAAAAAAAA4", "[PERSON_AAAAAAAAAAA1]"), (1, "c", "ID", "AAAAAAAAAAA5", "nobody"), (1, "d", "ID", "AAAAAAAAAAA6", "d"), (2, "e", "ID", "AAAAAAAAAAA7", "Ann")]
     found = registry.resolve_links(spark.createDataFrame(rows, "doc_id long, original string, tag string, hex_id string, linked_to string"))
     assert {r.original: r.linked_to for r in found.collect()} == {"Ann": None, "a@x.org": "AAAAAAAAAAA1", "555": "AAAAAAAAAAA1", "b": "AAAAAAAAAAA1", "c": None, "d": None, "e": None}
+
+
+def test_a_street_within_a_longer_word_of_any_script_is_none(spark):
+    docs = docs_of(spark, "87 Stühle", "87 St")
+    assert [r.doc_id for r in detect.detect_patterns(docs).collect()] == [r.doc_id for r in detect.pattern_matches(docs, "ADDRESS").collect()] == [1]
+    assert [r.value for r in detect.detect_patterns(docs, ascii_words=True).collect()] == ["87 St"] * 2
