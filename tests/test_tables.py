@@ -211,3 +211,22 @@ def test_csv_by_ranges(spark, tmp_path, size):
 
 def test_splices():
     assert splice("abc", [(1, 2, "-")]) == "a-c"
+
+
+def test_a_paragraph_of_many_runs_and_forbidden_places(spark):
+    # each of these took work by the square of a paragraph's runs
+    runs_ = spark.range(60_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("paragraph"), F.col("id").cast("int").alias("run"), F.when(F.col("id") % 3 == 0, "An").when(F.col("id") % 3 == 1, "n ").otherwise("").alias("text"))
+    shut = spark.range(0, 20_000, 2).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("paragraph"), (F.col("id") * 4).cast("int").alias("start"), (F.col("id") * 4 + 1).cast("int").alias("end"))
+    done = runs.scrub_runs(runs_, registry_of(spark, (1, "Ann")), shut)
+    got = done.groupBy("text", "changed").agg(F.count("*").alias("n")).collect()
+    assert {(r.text, r.changed): r.n for r in got} == {("An", False): 10_000, ("n ", False): 10_000, ("[PERSON_00000000001A]", True): 10_000, (" ", True): 10_000, ("", False): 20_000}
+
+
+def test_paragraphs_with_their_runs_as_rows_and_as_arrays(spark):
+    pieces = [["A", "nn L", "ee Ann", ""], [], ["Bob"], ["", "Ann", "x"]]
+    reg = registry_of(spark, (1, "Ann"), (1, "Ann Lee"), *((1, f"v{k}") for k in range(20)), (2, "Bob"))
+    frame = spark.createDataFrame([(d, p, x, "kept") for d in (1, 2, 3) for p, x in enumerate(pieces)], "doc_id long, paragraph int, pieces array<string>, more string")
+    got = {(r.doc_id, r.paragraph): (r.new, r.more) for r in runs.scrub_paragraphs(frame, reg).collect()}
+    ann, lee, bob = "[PERSON_00000000001A]", "[PERSON_00000000002A]", "[PERSON_00000000017A]"
+    new = {(1, 0): [lee, "", f" {ann}", ""], (1, 3): ["", ann, "x"], (2, 2): [bob]}
+    assert got == {(d, p): (new.get((d, p), x), "kept") for d in (1, 2, 3) for p, x in enumerate(pieces)}
