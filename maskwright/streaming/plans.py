@@ -9,9 +9,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,38 +29,55 @@ _STATE = "status string, reason string, decisions string, items string, at long"
 _HOUR = 3_600_000
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+_OUT = Row(*(c.split()[0] for c in OUTPUT.split(", ")))
+
+
 class PlanStates(StatefulProcessor):
-    """One document's plan: see ``plan_states``."""
+    """One document's plan: see ``plan_states``.
+
+    Each call of the state or a timer is a message to the JVM, so there are three a
+    document and batch: a timer's time follows from the state and is never looked up.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("plan", _STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable")  # of one document in one batch
-        status, reason, decisions, items, at = self.state.get() if self.state.exists() else ("off", "nothing was uploaded", "{}", "[]", 0)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        events = sorted(rows, key=lambda e: (e["at"], e["kind"] is None, e["kind"]))  # of one document in one batch
+        known = self.state.get()
+        status, reason, decisions, items, at = known or ("off", "nothing was uploaded", "{}", "[]", 0)
+        before = _forgotten_at(status, at) if known else None
         decisions, items = json.loads(decisions), json.loads(items)
         out = []
-        for e in events.itertuples(index=False):
-            status, reason, decisions, items, ask, refused = step(status, reason, decisions, items, e.kind, json.loads(e.payload or "{}"))
-            at = max(at, int(e.at.timestamp() * 1000))
-            out.append((key[0], e.at, e.kind, status, reason, ask, refused, json.dumps(decisions, sort_keys=True), len(undecided(items, decisions))))
+        for e in events:
+            status, reason, decisions, items, ask, refused = step(status, reason, decisions, items, e["kind"], json.loads(e["payload"] or "{}"))
+            at = max(at, (e["at"] - _EPOCH) // timedelta(milliseconds=1))
+            out.append(_OUT(key[0], e["at"], e["kind"], status, reason, ask, refused, json.dumps(decisions, sort_keys=True), len(undecided(items, decisions))))
         self.state.update((status, reason, json.dumps(decisions, sort_keys=True), json.dumps(items), at))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if status not in ("waiting", "frozen"):
-            self.handle.registerTimer(at + IDLE_HOURS * _HOUR)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        after = _forgotten_at(status, at)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
+        yield from out
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.state.clear()
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        yield pd.DataFrame([(key[0], at, "idle", "off", "forgotten", False, False, "{}", 0)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        at = _EPOCH + timedelta(milliseconds=expiredTimerInfo.getExpiryTimeInMs())
+        yield _OUT(key[0], at, "idle", "off", "forgotten", False, False, "{}", 0)
 
     def close(self) -> None:
         pass
 
 
+def _forgotten_at(status: str, at: int) -> int | None:
+    """When a document in this state, whose last event was ``at``, is forgotten; None if it is not."""
+    return None if status in ("waiting", "frozen") else at + IDLE_HOURS * _HOUR
+
+
 def undecided(items: list[dict], decisions: dict) -> list[str]:
     return [i["key"] for i in items if i.get("action") == "review" and i["key"] not in decisions]
 
@@ -144,7 +161,7 @@ def plan_states(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     The stream must start within ``state_store``.
     """
     keyed = events.select(F.col("doc_id").cast("string").alias("doc_id"), "at", "kind", "payload").withWatermark("at", delay).groupBy("doc_id")
-    return keyed.transformWithStateInPandas(PlanStates(), OUTPUT, "Append", "EventTime")
+    return keyed.transformWithState(PlanStates(), OUTPUT, "Append", "EventTime")
 
 
 def plan_event(items: DataFrame, stale: DataFrame | None = None) -> DataFrame:

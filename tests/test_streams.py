@@ -1,6 +1,8 @@
 import json
+from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from maskwright.operators import prompts, registry
@@ -232,3 +234,44 @@ def test_a_model_is_asked_once_a_chunk(spark, tmp_path):
     found = register(docs, model_hits=detect.detect_model(chunks, model), cells=cells)
     assert {(r.original, r.tag) for r in found.collect()} == {("Ann Lee", "PERSON"), ("a@example.com", "EMAIL"), ("Cy Poe", "PERSON")}
     assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_a_plan_takes_three_messages_a_batch_and_moves_its_timer():
+    class Handle:
+        def __init__(self):
+            self.value, self.timers, self.calls = None, set(), []
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):  # noqa: N802
+            self.calls.append("register")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.calls.append("delete")
+            self.timers.remove(at)
+
+    handle, states = Handle(), plans.PlanStates()
+    states.init(handle)
+    event = lambda minute, kind, about: Row(doc_id="d", at=datetime(2024, 1, 1, 0, minute, tzinfo=UTC), kind=kind, payload=json.dumps(about))
+    idle = lambda minute: {int(datetime(2024, 1, 1, plans.IDLE_HOURS, minute, tzinfo=UTC).timestamp() * 1000)}
+    batches = [
+        ([event(1, "retry", {}), event(0, "upload", {"tabular": False})], ["get", "update", "register"], idle(1)),
+        ([event(3, "retry", {})], ["get", "update", "delete", "register"], idle(3)),
+        ([event(2, "retry", {})], ["get", "update"], idle(3)),  # late: the last event's time stays
+        ([event(4, *UP)], ["get", "update", "delete"], set()),
+        ([event(5, "plan", {"people": 0})], ["get", "update", "register"], idle(5)),
+    ]
+    for rows, calls, timers in batches:
+        handle.calls.clear()
+        assert [r["at"] for r in states.handleInputRows(("d",), iter(rows), None)] == sorted(r["at"] for r in rows)
+        assert handle.calls == calls and handle.timers == timers
