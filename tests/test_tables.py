@@ -78,6 +78,15 @@ def test_titles_are_freed_in_order(spark):
     assert late[0].startswith("SHEET_") and late[1] == "PERSON_00000000002A"
 
 
+def test_titles_are_searched_once_and_in_blocks(spark):
+    # each title had a matcher of all 3,000 values, and was searched each time that the titles were read
+    reg = registry_of(spark, *((1, f"Name{k}") for k in range(3_000)))
+    rows = spark.range(3_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("sheet"), F.concat(F.lit("Name"), F.col("id")).alias("title"))
+    done = titles.sheet_titles(rows, reg, "s")
+    assert "MapInArrow" not in done._jdf.queryExecution().executedPlan().toString()
+    assert {r.sheet: r.written for r in done.collect()} == {k: f"PERSON_{k + 1:011X}A" for k in range(3_000)}
+
+
 def test_spans_in_sql(spark):
     udtf.register(spark)
     values = ["Ann Lee", "Ann", "Lee Ray", "12", "x"]
