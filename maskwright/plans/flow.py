@@ -68,16 +68,17 @@ def preview_spans(docs: DataFrame, rows: DataFrame, most: int = 10_000) -> DataF
     return found.join(rows.select("doc_id", "original", "placeholder").dropDuplicates(["doc_id", "original"]), ["doc_id", "original"]).select("doc_id", "start", "end", "original", "placeholder")
 
 
-def preview_counts(docs: DataFrame, rows: DataFrame, amounts: DataFrame | None = None) -> DataFrame:
+def preview_counts(docs: DataFrame, rows: DataFrame, amounts: DataFrame | None = None, missing: int | None = 0) -> DataFrame:
     """What a preview says of each document: doc_id, char_count, truncated, counts by tag, entities, replacements, kept_amounts.
 
-    ``amounts`` (doc_id, value) are the plain amounts that detectors left alone.
+    ``amounts`` (doc_id, value) are the plain amounts that detectors left alone.  ``missing`` is
+    the char_count of a missing text; None, as in SQL, leaves it and truncated null.
     """
     per = rows.groupBy("doc_id", "tag").agg(F.count("*").alias("n"), F.collect_set("hex_id").alias("ids"))
     counts = per.groupBy("doc_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("counts"), F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).cast("long").alias("entities"), F.sum("n").alias("replacements"),
     )
-    size = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    size = F.coalesce(F.length("text"), F.lit(missing)).cast("long")
     out = docs.select("doc_id", size.alias("char_count"), (size > 10_000).alias("truncated")).join(counts, "doc_id", "left")
     kept = amounts.groupBy("doc_id").agg(F.count_distinct("value").alias("kept_amounts")) if amounts is not None else docs.select("doc_id", F.lit(0).cast("long").alias("kept_amounts")).limit(0)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

@@ -54,3 +54,12 @@ def test_words_end_at_letters_beyond_ascii_as_in_sql(spark, tmp_path, name):
     got = core.QUERIES[name](spark, str(tmp_path)).toPandas()
     columns = sorted(want.columns)
     assert len(want) and rows(got, columns) == rows(want, columns)
+
+
+def test_preview_counts_of_a_document_without_text_as_in_sql(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, "a@b.org 12 Oak St")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = core.QUERIES["preview_counts"](spark, str(tmp_path))
+    want = connection.sql(f"select {', '.join(got.columns)} from ({core.ORACLE_SQL['preview_counts']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and (1, None, None, 0, 0, 0) in want
